@@ -28,12 +28,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_own = ""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    global _own
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="ragloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _own = _own or "file://" + tempfile.mkdtemp(prefix="ragloom-")
     return at.rstrip("/")
 
 
