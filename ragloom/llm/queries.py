@@ -25,6 +25,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, num=80, den=100)
+
+
 OP8_SQL = r"""
 WITH r AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -58,5 +64,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_near_duplicates, op8_url_filter, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}

@@ -109,7 +109,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", cap: int = 1
 
 def buffer(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """A slice's UTF-8 bytes and its documents' offsets in them."""
-    text = batch.column(batch.schema.get_field_index(column))
+    text = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
+    if not len(text):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     if text.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(text) + 1, np.int64)
