@@ -17,6 +17,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, urlfilter.listed_pages(pages)).select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,5 +71,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_near_duplicates, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op4_near_duplicates, op8_url_filter, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}

@@ -49,8 +49,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Bound what one Arrow batch of whole texts holds: 8 MB, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def parts_for(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> int:
