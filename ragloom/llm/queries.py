@@ -32,6 +32,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
@@ -71,5 +77,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op4_near_duplicates, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op8_url_filter, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}

@@ -91,6 +91,17 @@ def span_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * _MULT)
 
 
+def gram_hash(codes: np.ndarray, g: int) -> np.ndarray:
+    """span_hash of every g codes on end."""
+    n = len(codes)
+    if n < g:
+        return np.zeros(0, U64)
+    up, down = _powers(n + 1)
+    prefix = np.zeros(n + 1, U64)
+    np.cumsum((codes.astype(U64) + U64(1)) * up[:n], out=prefix[1:])
+    return mix((prefix[g:] - prefix[: n - g + 1]) * down[: n - g + 1] + U64(g * int(_MULT) & (2**64 - 1)))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", cap: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, cut so that a slice holds about cap bytes of text, or one text."""
     for batch in batches:
