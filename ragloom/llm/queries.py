@@ -50,6 +50,13 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = _table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.fit(docs))
+
+
 OP8_SQL = r"""
 WITH r AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -83,5 +90,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op6_personal_data, op8_url_filter, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}
