@@ -57,6 +57,16 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.fit(docs))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import lm
+
+    docs = _table(spark, sf_dir, "documents")
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return lm.score(docs, lm.fit(docs, path, pattern), path, pattern)
+
+
 OP8_SQL = r"""
 WITH r AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -90,5 +100,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op6_personal_data, op8_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op6_personal_data, op8_url_filter, op9_lm_score, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}
