@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import urlfilter
 
@@ -100,5 +107,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op6_personal_data, op8_url_filter, op9_lm_score, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_byte_bpe, op3_repeated_bytes, op4_near_duplicates, op5_benchmark_leaks, op6_personal_data, op7_quality, op8_url_filter, op9_lm_score, op10_language_id)}
 SQL = {"op8_url_filter": OP8_SQL}
