@@ -37,7 +37,7 @@ WINDOW, OVERLAP = 16, 4
 SAMPLE_DOCS, SAMPLE_IDS, EPOCHS = 800, 300_000, 5
 WIDTH, CLASSES, INPUTS = 16, 128, 1024
 #: Bytes of text of a group, on average.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 _CODEC = "zstd"
 
 
