@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 #: Characters of context, and the room below which nothing more is tried.
 BUDGET, ROOM = 14000, 100
@@ -84,7 +85,7 @@ def ground(verdicts: list[tuple[str, Column]]) -> Column:
 
 def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 32) -> DataFrame:
     """A column embedding from an injected batch embedder."""
-    schema = df.schema.add("embedding", "array<float>")
+    schema = df.schema.add("embedding", ST.ArrayType(ST.FloatType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
