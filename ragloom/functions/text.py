@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,8 +105,36 @@ def is_toc_title(t: Column) -> Column:
     return (F.length(t) <= 120) & (t.rlike(r"(?i)\A(chapter|section|part|annex|appendix)\s+\d+") | t.rlike(r"\A\d+(\.\d+)*\s+[A-Z]"))
 
 
+def loops(text: str, block: int = 20, times: int = 4) -> bool:
+    """Whether a block of at least `block` characters stands `times` times on end, in time that grows as n log n.
+
+    In such a stretch of smallest period d the next place of each gram is d further on, so it is a run of places with
+    one and the same distance. A shorter period counts by its multiples.
+    """
+    s = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(s) - block + 1
+    if len(s) < block * times:
+        return False
+    h = np.zeros(n, np.uint64)
+    for k in range(block):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + s[k : k + n]
+        h ^= h >> np.uint64(31)
+    order = np.argsort(h, kind="stable")
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    ahead = np.zeros(n, np.int64)
+    ahead[order[again]] = order[again + 1] - order[again]
+    edge = np.concatenate([[0], np.flatnonzero(ahead[1:] != ahead[:-1]) + 1, [n]])
+    d, run = ahead[edge[:-1]], np.diff(edge)
+    whole = d * -(-block // np.maximum(d, 1))
+    return bool(((d > 0) & (run >= times * whole - d - block + 1)).any())
+
+
+def has_loop(text: Column) -> Column:
+    return F.pandas_udf(lambda x: x.fillna("").map(loops).astype(bool), "boolean")(text)
+
+
 def is_toc_chunk(text: Column) -> Column:
-    """Mangled or looping text, a contents heading, or lines of contents that dominate."""
+    """Mangled or looping text, a contents heading, or lines of contents that dominate. One Arrow call looks for loops."""
     t = F.filter(F.transform(lines(text), trim), lambda s: s != "")
     toc = lambda s: (
         s.rlike(r"\.{2,}\s*\d+\s*\z") | s.rlike(r"-{2,}\s*\d+\s*\z") | ((F.length(s) < 180) & s.rlike("[A-Za-z]") & s.rlike(r"\s{2,}\d+\s*\z"))
@@ -114,7 +143,7 @@ def is_toc_chunk(text: Column) -> Column:
     n, k = F.size(t), F.size(F.filter(t, toc))
     mangled = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit(""))) >= 3
     heading = F.exists(t, lambda s: s.rlike(r"(?i)\A#{0,4}\s*(table of contents|contents)\s*\z"))
-    return F.coalesce(F.trim(text) != "", F.lit(False)) & (mangled | text.rlike(r"(?s)(.{20,}?)\1{3,}") | heading | (k >= 3) | ((k > 0) & (k / n >= 0.3)))
+    return F.coalesce(F.trim(text) != "", F.lit(False)) & (mangled | has_loop(text) | heading | (k >= 3) | ((k > 0) & (k / n >= 0.3)))
 
 
 def section_header(text: Column) -> Column:
