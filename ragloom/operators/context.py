@@ -13,6 +13,11 @@ from pyspark.sql import types as ST
 BUDGET, ROOM = 14000, 100
 
 
+def _with(df: DataFrame, **more: ST.DataType) -> ST.StructType:
+    """df's schema and further columns; adding to df.schema itself would change what df says its columns are."""
+    return ST.StructType([*df.schema.fields, *(ST.StructField(k, t) for k, t in more.items())])
+
+
 def rerank(candidates: DataFrame, score: str, first: int = 50, query_id: str = "query_id") -> DataFrame:
     """new_rank: the first ones by an injected score (missing: last), the tail behind them in its order."""
     key = F.when(F.col("rank") <= first, F.coalesce(F.col(score), F.lit(-1.0))).otherwise(-2.0)
@@ -21,7 +26,7 @@ def rerank(candidates: DataFrame, score: str, first: int = 50, query_id: str = "
 
 def score_pairs(candidates: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], cut: int = 1500) -> DataFrame:
     """A column rerank_score from an injected batch scorer of (question, chunk) pairs."""
-    schema = candidates.schema.add("rerank_score", "double")
+    schema = _with(candidates, rerank_score=ST.DoubleType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -85,7 +90,7 @@ def ground(verdicts: list[tuple[str, Column]]) -> Column:
 
 def embed(df: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 32) -> DataFrame:
     """A column embedding from an injected batch embedder."""
-    schema = df.schema.add("embedding", ST.ArrayType(ST.FloatType()))
+    schema = _with(df, embedding=ST.ArrayType(ST.FloatType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,7 +117,7 @@ def hashing_embedder(texts: list[str], dim: int = 64) -> list[list[float]]:
 
 def generate(prompts: DataFrame, generator: Callable[[str], str], prompt: str = "prompt", retries: int = 2) -> DataFrame:
     """answer and error from an injected generator; it is asked again on errors that pass, not on a spent quota."""
-    schema = prompts.schema.add("answer", "string").add("error", "string")
+    schema = _with(prompts, answer=ST.StringType(), error=ST.StringType())
 
     def one(p: str) -> tuple[str | None, str | None]:
         last = None
