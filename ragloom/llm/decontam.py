@@ -35,6 +35,7 @@ Q, RATE = 8, 0.1
 #: Characters of items broadcast at once.
 BLOCK_CHARS = 4 << 20
 _TABLE_BITS = 22
+_MULT = util.U64(0x9E3779B97F4A7C15)
 
 
 def normalise(text: str | None) -> str:
@@ -47,7 +48,21 @@ def edits(length: int, q: int = Q, rate: float = RATE) -> int:
 
 
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    return util.gram_hash(codes, q)
+    """Hashes of all q-grams by doubling; equal grams are told apart by all 64 bits, and filtered by the upper ones."""
+    h, have = codes.astype(util.U64), 1
+    h *= _MULT
+    done, shift = None, 0
+    n = max(len(codes) - q + 1, 0)
+    while True:
+        if q & have:
+            part = h[shift : shift + n]
+            done = part.copy() if done is None else done * _MULT + part
+            shift += have
+        if 2 * have > q:
+            return done
+        h = (h[:-have] * _MULT) + h[have:] if len(h) > have else h[:0]
+        h ^= h >> util.U64(29)
+        have *= 2
 
 
 class Items:
