@@ -45,8 +45,10 @@ REGISTERS, BAND = 128, 4
 BASE, TOP = 1.001, 65535
 #: What is added to a register before truncation: scale values below zero would be minima over 2^13 or so.
 SHIFT = 32768
-#: Estimates this far below the threshold are ruled out: over six standard deviations for 128 registers.
-MARGIN = 0.25
+#: Estimates this far below the threshold are ruled out: over five standard deviations for 128 registers.
+MARGIN = 0.2
+#: Partners that a member names in each round of the second search; the last round names all.
+ROUNDS = (1, 8, 64, None)
 #: Members of a bucket's block in the second search.
 BLOCK = 256
 
@@ -162,37 +164,85 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in a bucket that may reach the threshold, a pair of blocks at a time.
+def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The joint estimate of pairs of sketched sets that may reach the threshold, -1 for the others."""
+    out = np.full(len(x), -1.0)
+    ok = np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num
+    # Equal registers alone rule most pairs out: the estimate is not far above their share.
+    at = np.flatnonzero(ok)
+    at = at[(x[at] == y[at]).mean(1) >= num / den - 1.8 * MARGIN]
+    value = estimate(x[at], y[at], nx[at].astype(float), ny[at].astype(float))
+    out[at] = np.where(value >= num / den - MARGIN, value, -1.0)
+    return out
+
+
+def _regs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def _estimated(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                p = b.slice(lo, 4096)
+                ok = pa.array(_near(_regs(p.column("ra")), _regs(p.column("rb")), p.column("na").to_numpy(), p.column("nb").to_numpy(), num, den) >= 0)
+                yield pa.RecordBatch.from_arrays([p.column("a").filter(ok), p.column("b").filter(ok)], names=["a", "b"])
+
+    one, two = (reps.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c)) for c in "ab")
+    return pairs.join(one, "a").where("a <> b").join(two, "b").where(_possible("na", "nb", num, den)).mapInArrow(run, "a long, b long").distinct()
 
+
+def _cross_pairs(members: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
+    """Pairs of different components in a bucket that may reach the threshold, a pair of blocks at a time; not its leader's.
+
+    Each member outside its blocks' largest component names its `most` likeliest partners (None: all).
     members: bucket, rep, n, component, regs, blocks (how many the bucket is dealt into).
     """
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     m = members.withColumn("_b", block)
-    # A member meets every block of its bucket: once as the row (its own block first), once as the column.
+    # A member meets every block of its bucket.
     m = m.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("_o"))
-    m = m.select("bucket", "rep", "n", "component", "regs", "_b", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"))
-
-    def run(key, g):
-        rep, n, comp, at = (g[c].to_numpy() for c in ("rep", "n", "component", "_b"))
-        regs = np.frombuffer(b"".join(g["regs"]), "<u2").reshape(len(g), -1)
-        lo, hi = key[1], key[2]
-        one, two = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
-        a_out, b_out = [], []
-        for i in one:
-            j = two[(comp[two] != comp[i]) & (np.minimum(n[two], n[i]) * den >= np.maximum(n[two], n[i]) * num)]
-            if lo == hi:
-                j = j[rep[j] > rep[i]]
-            if not len(j):
-                continue
-            j = j[estimate(regs[i][None, :], regs[j], np.full(len(j), float(n[i])), n[j].astype(float)) >= num / den - MARGIN]
-            a_out.append(np.minimum(rep[i], rep[j]))
-            b_out.append(np.maximum(rep[i], rep[j]))
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.concatenate([*a_out, np.zeros(0, np.int64)]), "b": np.concatenate([*b_out, np.zeros(0, np.int64)])})
-
-    return m.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    m = m.select("bucket", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), F.struct("rep", "n", "component", "_b", "regs").alias("m"))
+    tasks = m.groupBy("bucket", "lo", "hi").agg(F.collect_list("m").alias("m"))  # two blocks at most
+
+    def one(rep, n, comp, at, regs, lo, hi):
+        if lo == hi:
+            i, j = np.triu_indices(len(rep), 1)
+        else:
+            x, y = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+        on = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+        i, j = i[on], j[on]
+        value = np.concatenate([np.zeros(0), *(_near(regs[i[k : k + 20_000]], regs[j[k : k + 20_000]], n[i[k : k + 20_000]], n[j[k : k + 20_000]], num, den) for k in range(0, len(i), 20_000))])
+        i, j, value = i[value >= 0], j[value >= 0], value[value >= 0]
+        names, count = np.unique(comp, return_counts=True)
+        largest = names[count.argmax()]
+        who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([value, value])
+        small = comp[who] != largest
+        who, whom, value = who[small], whom[small], value[small]
+        order = np.lexsort((rep[whom], -value, who))
+        who, whom = who[order], whom[order]
+        if most is not None and len(who):
+            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+            who, whom = who[place < most], whom[place < most]
+        return np.minimum(rep[who], rep[whom]), np.maximum(rep[who], rep[whom])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column("m").flatten()
+            rep, n, comp, at = (flat.field(c).to_numpy() for c in ("rep", "n", "component", "_b"))
+            regs = _regs(flat.field("regs"))
+            ends = np.cumsum(b.column("m").value_lengths().to_numpy())
+            for end, begin, lo, hi in zip(ends, np.append(0, ends[:-1]), b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True):
+                x, y = one(*(v[begin:end] for v in (rep, n, comp, at, regs)), lo, hi)
+                if len(x):
+                    both = np.unique(np.stack([x, y]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return tasks.mapInArrow(run, "a long, b long").distinct()
 
 
 def _same_id(real: DataFrame, reps: DataFrame) -> DataFrame:
@@ -211,24 +261,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last").drop("_last")
     buckets = util.materialise(banded.join(shared, "bucket"), "buckets")
 
-    # Only texts of representatives that share a bucket travel on.
-    sizes = reps.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader"))
-    some = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = util.materialise(docs.join(some, "doc_id", "left_semi").distinct(), "texts")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Only texts of the pairs' documents travel: the pairs are written first, so that Spark knows how few they are."""
+        some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        texts = util.materialise(docs.join(util.materialise(some, "ids"), "doc_id", "left_semi").distinct(), "texts")
+        return util.materialise(verify(pairs, texts, words, num, den), "links")
 
-    stars = buckets.where("rep <> leader").select("leader", "rep", "n").distinct().join(sizes, "leader").where(_possible("n", "n_leader", num, den))
-    links = util.materialise(verify(stars.select(F.col("leader").alias("a"), F.col("rep").alias("b")), texts, words, num, den), "links")
+    stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    tried = util.materialise(_estimated(stars, reps, num, den), "pairs")
+    links = verified(tried)
     comp = util.materialise(components(links, "a", "b"), "components")
 
-    # Buckets that still hold several components.
-    named = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).where("_c < _d")
-    split = split.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    left = named.join(split, "bucket").select("bucket", "rep", "n", "component", "blocks")
-    members = left.join(reps.select("rep", "regs", F.col("n").alias("_n")), "rep").where("n = _n").drop("_n")
-    tried = stars.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    more = util.materialise(_cross_pairs(members, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(util.materialise(verify(more, texts, words, num, den), "links")).unionByName(_same_id(real, reps))
+    # Buckets that still hold several components, and members besides the leader that have not met. Near copies soon
+    # join by their likeliest partners; only what stays apart names all that its sketches leave possible.
+    others = buckets.where("rep <> leader")
+    for most in ROUNDS:
+        named = others.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        split = named.groupBy("bucket").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).where("_c < _d")
+        split = util.materialise(split.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "split")
+        if split.isEmpty():
+            break
+        left = named.join(split, "bucket").select("bucket", "rep", "n", "component", "blocks")
+        members = left.join(reps.select("rep", "regs", F.col("n").alias("_n")), "rep").where("n = _n").drop("_n")
+        more = util.materialise(_cross_pairs(members, num, den, most).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
+        if not more.isEmpty():
+            links = links.unionByName(verified(more))
+            comp = util.materialise(components(links, "a", "b"), "components")
+    links = links.unionByName(_same_id(real, reps))
 
     comp = util.materialise(components(links, "a", "b"), "components")
     classes = reps.select("s1", "s2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
