@@ -28,6 +28,8 @@ from . import util
 
 #: Documents of each language in the training sample.
 PER_LANG = 800
+#: Parts of a language among which the sample is first looked for.
+SALTS = 64
 #: Character n-gram lengths, tried in this order.
 ORDERS = (5, 4, 3, 2, 1)
 
@@ -154,8 +156,11 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Fitted on the per_lang documents of each language with the smallest hash of their id."""
     spark = docs.sparkSession
     ok = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ok.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).drop("_n")
+    ids = ok.select("doc_id", "lang").distinct().withColumn("_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    for by in (["lang", "_salt"], ["lang"]):  # the first round leaves per_lang rows of a language's every salt
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).drop("_n")
+    ids = ids.drop("_salt")
     ids = ids.toArrow()
     langs = sorted(set(ids.column("lang").to_pylist()))
     if not langs:
