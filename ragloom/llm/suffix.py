@@ -48,7 +48,7 @@ from . import util
 #: Bytes of a gram from whose hashes anchors are chosen.
 GRAM = 20
 #: Bytes of text of a group, on average, and of the text whose anchors a bucket gets.
-GROUP_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+GROUP_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: The cover's period; differences of its places are all residues.
 PERIOD = 32
 #: Suffixes sorted at once.
@@ -250,7 +250,7 @@ class _Slab:
         self.head, self.lo, self.hi, self.place = value[at], at, stop, place[at].astype(np.int64)
 
 
-def _slabs(rows: list, length: int, cap: int = 1 << 21) -> list[_Slab]:
+def _slabs(rows: list, length: int, cap: int = 1 << 20) -> list[_Slab]:
     out, lo, size = [], 0, 0
     for k, r in enumerate(rows):
         if size and size + len(r[1]) > cap:
@@ -356,6 +356,7 @@ def _send_hashes(length: int, buckets: int):
                 # Six bytes of each hash tell it from the others of its bucket; a mistake only makes a candidate.
                 six = u[lo:hi].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 out.append((b, int(key[0]), np.packbits(several[lo:hi]).tobytes() + six + np.array([hi - lo], "<i8").tobytes()))
+        util.give_back()
         return pd.DataFrame(out, columns=["to", "frm", "part"])
 
     return run
@@ -379,6 +380,7 @@ def _answer_hashes(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     for frm, (x, _) in zip(g["frm"], got, strict=True):
         out.append((int(frm), int(key[0]), _zip(np.packbits(several[back[at : at + len(x)]]).tobytes())))
         at += len(x)
+    util.give_back()
     return pd.DataFrame(out, columns=["to", "frm", "part"])
 
 
@@ -431,6 +433,7 @@ def _send_contexts(length: int, buckets: int):
             items = sorted(d.items())
             raw = np.array([len(items)], "<i8").tobytes() + np.array([[low, len(p)] for p, low in items], "<i8").tobytes() + b"".join(p for p, _ in items)
             out.append((b, int(key[0]), _zip(raw)))
+        util.give_back()
         return pd.DataFrame(out, columns=["to", "frm", "part"])
 
     return run
@@ -449,6 +452,7 @@ def _answer_contexts(length: int):
             for p, i in zip(own, meta[:, 0].tolist(), strict=True):
                 low[p] = min(low.get(p, i), i)
         parts = sorted(low)
+        util.give_back()
         anchor = np.frombuffer(b"".join(p[:4] for p in parts), "<i4").astype(np.int64)
         found = smallest_ids([p[4:] for p in parts], np.array([low[p] for p in parts], np.int64), length, anchor)
         size = np.array([len(p) - 4 - length + 1 for p in parts], np.int64)
@@ -458,6 +462,7 @@ def _answer_contexts(length: int):
             at = np.array([begin[p] for p in own], np.int64)
             n = np.array([len(p) - 4 - length + 1 for p in own], np.int64)
             out.append((int(frm), int(key[0]), _zip(found[_ranges(at, n)].astype("<i8").tobytes())))
+        util.give_back()
         return pd.DataFrame(out, columns=["to", "frm", "part"])
 
     return run
@@ -497,6 +502,7 @@ def _cover(length: int, buckets: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
                 kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edge) else text
                 out.append((sha, low, b - a, int(mine.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist()))
+        util.give_back()
         return pd.DataFrame(out, columns=["sha", "low", "n_bytes", "n_removed", "n_spans", "kept_sha256", "edges"])
 
     return run

@@ -7,6 +7,8 @@ gives a slice's UTF-8 bytes and document offsets without copying.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +60,13 @@ def parts_for(spark: SparkSession, n_bytes: int, each: int = 16 << 20) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a reused worker holds only what its present group needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(U64, copy=True)
