@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from . import util
 from .bpe import load
 
-WINDOW, OVERLAP = 16, 4
+WINDOW, OVERLAP = 16, 3
 #: Documents and ids of the training sample; passes over it.
 SAMPLE_DOCS, SAMPLE_IDS, EPOCHS = 800, 300_000, 5
-WIDTH, CLASSES, INPUTS = 16, 128, 1024
+WIDTH, CLASSES, INPUTS = 16, 96, 1024
 #: Bytes of text of a group, on average.
 GROUP_BYTES = 8 << 20
 _CODEC = "zstd"
@@ -328,26 +328,34 @@ def _answer(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
 def _score(buckets: int, vocabulary: str, pattern: str, model, n: int, v: int, end_count: int):
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         slabs = _rows(g["part"])
-        u, _ = _distinct(slabs)
+        words = [Words(b) for b in slabs]
+        base = np.concatenate([[0], np.cumsum([len(w.hash) for w in words])]).astype(np.int64)
+        u, first, index = np.unique(np.concatenate([np.zeros(0, util.U64), *(w.hash for w in words)]), return_index=True, return_inverse=True)
         cut = _cuts(u, buckets)
         c = np.zeros(len(u), np.int64)
         for frm, part in zip(answers["frm"], answers["part"], strict=True):
             c[cut[frm] : cut[frm + 1]] = np.frombuffer(pa.Codec(_CODEC).decompress(part[8:], int(np.frombuffer(part[:8], "<i8")[0]), asbytes=True), "<i8")
         log = np.log10((c + 1) / (n + v + 1))
         end = float(np.log10((end_count + 1) / (n + v + 1)))
-        bpe, out = load(vocabulary, pattern), []
-        for b in slabs:
-            w = Words(b)
-            own, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
-            flat, begin = subwords(bpe, w.some(first))
-            k = np.searchsorted(u, own)[index]
-            ids, off = text_ids(w, index, flat, begin, model.value.end)
+        # Each distinct word of the group is encoded once, in the order of u.
+        found: list[bytes] = [b""] * len(u)
+        slab = np.searchsorted(base, first, "right") - 1
+        for k, w in enumerate(words):
+            at = np.flatnonzero(slab == k)
+            for i, word in zip(at.tolist(), w.some(first[at] - base[k]), strict=True):
+                found[i] = word
+        flat, begin = subwords(load(vocabulary, pattern), found)
+        out = []
+        for b, w, lo in zip(slabs, words, base[:-1].tolist(), strict=True):
+            k = index[lo : lo + len(w.hash)]
+            ids, off = text_ids(w, k, flat, begin, model.value.end)
             m = b.num_rows
             out.append(pd.DataFrame({
                 "doc_id": b.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "n_tokens": w.n + 1,
                 "n_known": np.bincount(w.doc, c[k] > 0, minlength=m).astype(np.int64) + (end_count > 0), "train_tokens": n,
                 "base_score": np.bincount(w.doc, log[k], minlength=m) + end, "score": model.value.score(ids, off),
             }))
+        util.give_back()
         return pd.concat(out)
 
     return run
