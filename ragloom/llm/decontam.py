@@ -71,6 +71,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], q: int = Q, rate: float = RATE):
         keep = sorted((i, t) for i, t in ((i, normalise(t)) for i, t in zip(ids, texts, strict=True)) if i is not None and len(t) >= q)
         self.q, self.ids, self.texts = q, np.array([i for i, _ in keep], np.int64), [np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, t in keep]
+        self.plain = [t for _, t in keep]
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.budget = np.array([edits(int(n), q, rate) for n in self.length], np.int64)
         self.least = self.length - q + 1 - q * self.budget
@@ -109,6 +110,15 @@ class Items:
         doc = np.searchsorted(off, at, "right") - 1
         inside = at + self.q <= off[doc + 1]
         at, item, place, doc = at[inside], item[inside], place[inside], doc[inside]
+        # What a whole text shares with an item bounds what any band of it does: most chance hits end here.
+        pair = doc * len(self.ids) + item
+        if (len(off) - 1) * len(self.ids) <= 1 << 24:
+            shared = np.bincount(pair, minlength=1)[pair]
+        else:
+            _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
+            shared = n[back]
+        enough = shared >= self.least[item]
+        at, item, place, doc = at[enough], item[enough], place[enough], doc[enough]
         diagonal = at - off[doc] - place + self.length[item]
         low = diagonal // self.width[item]
         out = []
@@ -162,6 +172,11 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int
     off = np.concatenate([[0], np.cumsum([len(t) for t in norm])]).astype(np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for d, i, b in zip(*(x.tolist() for x in items.regions(codes, off)), strict=True):
+        if best.get((d, i), (1,))[0] == 0:
+            continue
+        if (at := norm[d].find(items.plain[i])) >= 0:  # no alignment is better than the first whole copy
+            best[d, i] = 0, at, at + len(items.plain[i])
+            continue
         length, e, w = int(items.length[i]), int(items.budget[i]), int(items.width[i])
         lo = b - length
         text = codes[off[d] : off[d + 1]]
