@@ -2,17 +2,22 @@
 
 The base score is an add-one unigram over the words of all training documents.
 Texts are dealt into groups; each group sends its distinct words with their
-training counts to the words' buckets, which answer with the corpus counts in
-the order sent. A common word costs its bucket one entry for each group.
+training counts to the words' buckets, which answer with the corpus counts and
+the subword ids in the order sent. A common word costs its bucket one entry for
+each group, and is encoded once. What a bucket's words count for their ids adds
+up to the id counts of all training documents.
 
 The model reads subword ids of the lower-cased words (a public rank file's,
 each word with a space before it) and an end after each text. It is a causal
 self-attention layer over windows of WINDOW ids; windows overlap by OVERLAP, so
 that each id is scored once, with at least that much context after the first
 window. What it predicts is the id's class; within a class ids have their
-smoothed frequency. Classes hold about equal shares of the sample, so frequent
-ids have classes of their own. It is trained in numpy on the training documents
-with the smallest hash, SAMPLE_DOCS of them and SAMPLE_IDS ids at most.
+smoothed frequency. Classes hold about equal shares of the corpus, so frequent
+ids have classes of their own. It is trained in numpy in two steps: the driver
+begins on the training documents with the smallest hash, SAMPLE_DOCS of them and
+SAMPLE_IDS ids at most; from there each group goes once over all windows of its
+training documents, and the model is the groups' mean, weighted by ids. The mean
+depends on the number of groups, not on the order in which texts arrive.
 
 Defined cases: a null or empty text is its end alone. A null id teaches nothing
 and its held_out is null. Repeated rows count and are scored each for itself.
@@ -21,7 +26,9 @@ With no training documents N and V are 0 and the model is untrained.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,8 +40,10 @@ from . import util
 from .bpe import load
 
 WINDOW, OVERLAP = 16, 3
-#: Documents and ids of the training sample; passes over it.
+#: Documents and ids of the sample that training begins with; passes over it.
 SAMPLE_DOCS, SAMPLE_IDS, EPOCHS = 800, 300_000, 5
+#: Step size of a group's pass over its own windows.
+RATE = 0.003
 WIDTH, CLASSES, INPUTS = 16, 96, 1024
 #: Bytes of text of a group, on average.
 GROUP_BYTES = 8 << 20
@@ -108,8 +117,7 @@ class Attention:
             g[name] = flat(e).T @ flat(d)
             de += d @ p[name].T
         g["pos"] = de.sum(0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], x, de)
+        g["emb"] = np.stack([np.bincount(x.ravel(), d, minlength=len(p["emb"])) for d in flat(de).T], 1)
         return float(-(took * on).sum() / n), g
 
     def fit(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 256) -> None:
@@ -127,6 +135,22 @@ class Attention:
                     m2[k] += 0.01 * (v * v - m2[k])
                     self.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
+    def learn(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01) -> None:
+        """Fit to all windows of texts' ids."""
+        ids, off = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        at, on = self.windows(ids, off)
+        self.fit(self.inputs(ids, off)[at], self.klass[ids][at], on, epochs, rate)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
+
+    def set_flat(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            v = self.p[k]
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def windows(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ids of each window (0 where it has run out) and which of them it scores. off: texts' offsets, none empty."""
         n = np.diff(off)
@@ -197,41 +221,6 @@ def text_ids(w: Words, index: np.ndarray, flat: np.ndarray, begin: np.ndarray, e
     return out, off
 
 
-def fit(docs: DataFrame, vocabulary: str, pattern: str) -> Attention:
-    """Trained on the SAMPLE_DOCS training documents whose ids have the smallest hash."""
-    spark = docs.sparkSession
-    size = len(load(vocabulary, pattern).ranks)
-    ids = docs.select("doc_id").where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    chosen = F.broadcast(spark.createDataFrame(ids.toPandas(), ids.schema))  # at most SAMPLE_DOCS rows
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary, pattern)
-        for b in util.pieces(batches):
-            w = Words(b)
-            u, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
-            flat, begin = subwords(bpe, w.some(first))
-            ids, off = text_ids(w, index, flat, begin, size)
-            each = [ids[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(each, pa.binary())], names=["k", "ids"])
-
-    util.small_batches(spark)
-    rows = docs.join(chosen, "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(cut, "k long, ids binary")
-    rows = rows.groupBy("k").agg(F.first("ids").alias("ids")).orderBy("k").collect()
-    kept, n = [], 0
-    for r in rows:
-        x = np.frombuffer(bytes(r.ids), np.int32)[: SAMPLE_IDS - n]
-        if len(x):
-            kept.append(x)
-            n += len(x)
-    if not kept:
-        return Attention(size)
-    ids, off = np.concatenate(kept), np.concatenate([[0], np.cumsum([len(x) for x in kept])])
-    model = Attention(size, np.bincount(ids, minlength=size + 1))
-    at, on = model.windows(ids, off)
-    model.fit(model.inputs(ids, off)[at], model.klass[ids][at], on)
-    return model
-
-
 def _parts(docs: DataFrame, groups: int) -> DataFrame:
     """(g, part): rows of a group as compressed Arrow streams."""
     names = ["doc_id", "text", "learn"]
@@ -274,106 +263,238 @@ def _rows(parts) -> list[pa.RecordBatch]:
     return list(util.pieces(iter(batches)))
 
 
-def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """A group's distinct word hashes, sorted, and their counts in its training documents."""
-    hashes, counts = [np.zeros(0, util.U64)], [np.zeros(0)]
+def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """A group's distinct word hashes, sorted, their counts in its training documents, and the words."""
+    hashes, counts, words = [np.zeros(0, util.U64)], [np.zeros(0)], []
     for b in slabs:
         w = Words(b)
-        u, index = np.unique(w.hash, return_inverse=True)
+        u, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
         learn = b.column("learn").to_numpy(zero_copy_only=False)[w.doc].astype(float)
         hashes.append(u)
         counts.append(np.bincount(index, learn, minlength=len(u)))
-    u, index = np.unique(np.concatenate(hashes), return_inverse=True)
-    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64)
+        words += w.some(first)
+    u, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64), [words[k] for k in first.tolist()]
 
 
 def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(u, np.array([(b << 64) // buckets for b in range(1, buckets)], util.U64)), [len(u)]]).astype(np.int64)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = [x.tobytes() for x in arrays]
+    return np.array([len(x) for x in raw], "<i8").tobytes() + pa.Codec(_CODEC).compress(b"".join(raw), asbytes=True)
+
+
+def _unpack(part: bytes, *kinds: str) -> list[np.ndarray]:
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(part[: 8 * len(kinds)], "<i8"))]).tolist()
+    raw = pa.Codec(_CODEC).decompress(part[8 * len(kinds) :], at[-1], asbytes=True) if at[-1] else b""
+    return [np.frombuffer(raw[a:b], k) for a, b, k in zip(at[:-1], at[1:], kinds, strict=True)]
+
+
 _ROW = "to int, frm int, n long, v long, part binary"
 _COLUMNS = ["to", "frm", "n", "v", "part"]
 
 
 def _send(buckets: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        u, c = _distinct(_rows(g["part"]))
+        u, c, words = _distinct(_rows(g["part"]))
         cut = _cuts(u, buckets)
         out = []
         for b in range(buckets):
             lo, hi = cut[b], cut[b + 1]
             if hi > lo:
-                out.append((b, int(key[0]), 0, 0, np.array([hi - lo], "<i8").tobytes() + u[lo:hi].astype("<u8").tobytes() + pa.Codec(_CODEC).compress(c[lo:hi].astype("<i8").tobytes(), asbytes=True)))
+                some = words[lo:hi]
+                size, raw = np.array([len(w) for w in some], "<i4"), np.frombuffer(b"".join(some), np.uint8)
+                out.append((b, int(key[0]), 0, 0, _pack(u[lo:hi].astype("<u8"), c[lo:hi].astype("<i8"), size, raw)))
+        return pd.DataFrame(out, columns=_COLUMNS)
+
+    return run
+
+
+def _answer(vocabulary: str, pattern: str):
+    """Corpus counts and ids of each sender's words in the order sent; this bucket's sums of counts and of counted words, and its counts of ids."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        got = [_unpack(p, "<u8", "<i8", "<i4", "u1") for p in g["part"]]
+        hashes = [x[0] for x in got]
+        u, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        total = np.bincount(index, np.concatenate([x[1] for x in got]), minlength=len(u)).astype("<i8")
+        end = np.cumsum(np.concatenate([x[2] for x in got]).astype(np.int64))
+        raw = b"".join(x[3].tobytes() for x in got)
+        start = end - np.concatenate([x[2] for x in got])
+        flat, begin = subwords(load(vocabulary, pattern), [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        size = np.diff(begin)
+        ids = np.bincount(flat, np.repeat(total, size)).astype("<i8")
+        known = np.flatnonzero(ids)
+        out, at = [(-1, int(key[0]), int(total.sum()), int((total > 0).sum()), _pack(known.astype("<i4"), ids[known]))], 0
+        for frm, x in zip(g["frm"], hashes, strict=True):
+            k = index[at : at + len(x)]
+            at += len(x)
+            out.append((int(frm), int(key[0]), 0, 0, _pack(total[k], size[k].astype("<i4"), flat[_ranges(begin[k], size[k])].astype("<i4"))))
+        util.give_back()
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return run
 
 
-def _answer(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of each sender's words in the order sent, and this bucket's sums of counts and of counted words."""
-    got = []
-    for p in g["part"]:
-        n = int(np.frombuffer(p[:8], "<i8")[0])
-        got.append((np.frombuffer(p[8 : 8 + 8 * n], "<u8"), np.frombuffer(pa.Codec(_CODEC).decompress(p[8 + 8 * n :], 8 * n, asbytes=True), "<i8")))
-    u, index = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
-    total = np.bincount(index, np.concatenate([c for _, c in got]), minlength=len(u)).astype("<i8")
-    out, at = [(-1, int(key[0]), int(total.sum()), int((total > 0).sum()), b"")], 0
-    for frm, (x, _) in zip(g["frm"], got, strict=True):
-        raw = total[index[at : at + len(x)]].tobytes()
-        at += len(x)
-        out.append((int(frm), int(key[0]), 0, 0, np.array([len(raw)], "<i8").tobytes() + pa.Codec(_CODEC).compress(raw, asbytes=True)))
-    return pd.DataFrame(out, columns=_COLUMNS)
+@dataclass
+class Counts:
+    """What the buckets found: their answers, sums over all training documents, and how often each id stands in them (the end last)."""
+
+    docs: DataFrame
+    groups: int
+    answers: DataFrame
+    n: int
+    v: int
+    learnt: int
+    ids: np.ndarray
+    encoded: DataFrame | None = None
 
+    def texts(self):
+        return _parts(self.docs, self.groups).groupBy("g")
+
+
+def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for p in b["part"]:
+            ids, n = _unpack(p, "<i4", "<i8")
+            yield pd.DataFrame({"id": ids, "n": n})
+
+
+def count(docs: DataFrame, vocabulary: str, pattern: str) -> Counts:
+    spark = docs.sparkSession
+    util.small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total, learnt = docs.agg(F.sum(F.octet_length("text")), F.count_if(~held_out())).first()
+    got = Counts(docs, util.parts_for(spark, total or 0, GROUP_BYTES), docs, 0, 0, learnt, np.zeros(len(load(vocabulary, pattern).ranks) + 1, np.int64))
+    sent = got.texts().applyInPandas(_send(got.groups), _ROW)
+    got.answers = util.materialise(sent.groupBy("to").applyInPandas(_answer(vocabulary, pattern), _ROW), "counts")
+    sums = got.answers.where("to < 0")
+    n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    got.n, got.v = n + learnt, v + (learnt > 0)
+    ids = sums.select("part").mapInPandas(_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row for each id of the vocabulary at most
+    got.ids[ids["id"].to_numpy(int)] = ids["n"].to_numpy(int)
+    got.ids[-1] = learnt
+    return got
+
+
+_ENCODED = "doc_id long, n_tokens long, n_known long, base_score double, ids binary, g int, weight long, model binary"
+
+
+def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
+    """A row for each text with its ids; with a model, a last row with the weights it has after the group's training windows, and their ids."""
 
-def _score(buckets: int, vocabulary: str, pattern: str, model, n: int, v: int, end_count: int):
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         slabs = _rows(g["part"])
-        words = [Words(b) for b in slabs]
-        base = np.concatenate([[0], np.cumsum([len(w.hash) for w in words])]).astype(np.int64)
-        u, first, index = np.unique(np.concatenate([np.zeros(0, util.U64), *(w.hash for w in words)]), return_index=True, return_inverse=True)
+        u = np.unique(np.concatenate([np.zeros(0, util.U64), *(np.unique(Words(b).hash) for b in slabs)]))
+        c, flat, size = np.zeros(len(u), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         cut = _cuts(u, buckets)
-        c = np.zeros(len(u), np.int64)
-        for frm, part in zip(answers["frm"], answers["part"], strict=True):
-            c[cut[frm] : cut[frm + 1]] = np.frombuffer(pa.Codec(_CODEC).decompress(part[8:], int(np.frombuffer(part[:8], "<i8")[0]), asbytes=True), "<i8")
+        for frm, part in sorted(zip(answers["frm"], answers["part"], strict=True)):
+            c[cut[frm] : cut[frm + 1]], k, x = _unpack(part, "<i8", "<i4", "<i4")
+            size.append(k)
+            flat.append(x)
+        flat, begin = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int64)
         log = np.log10((c + 1) / (n + v + 1))
         end = float(np.log10((end_count + 1) / (n + v + 1)))
-        # Each distinct word of the group is encoded once, in the order of u.
-        found: list[bytes] = [b""] * len(u)
-        slab = np.searchsorted(base, first, "right") - 1
-        for k, w in enumerate(words):
-            at = np.flatnonzero(slab == k)
-            for i, word in zip(at.tolist(), w.some(first[at] - base[k]), strict=True):
-                found[i] = word
-        flat, begin = subwords(load(vocabulary, pattern), found)
-        out = []
-        for b, w, lo in zip(slabs, words, base[:-1].tolist(), strict=True):
-            k = index[lo : lo + len(w.hash)]
-            ids, off = text_ids(w, k, flat, begin, model.value.end)
-            m = b.num_rows
+        out, learn = [], []
+        for b in slabs:
+            w = Words(b)
+            k = np.searchsorted(u, w.hash)
+            ids, off = text_ids(w, k, flat, begin, end_id)
+            each = [ids[lo:hi].astype("<i4").tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            if model is not None:
+                learn += [x for x, y in zip(each, b.column("learn").to_pylist(), strict=True) if y]
             out.append(pd.DataFrame({
                 "doc_id": b.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "n_tokens": w.n + 1,
-                "n_known": np.bincount(w.doc, c[k] > 0, minlength=m).astype(np.int64) + (end_count > 0), "train_tokens": n,
-                "base_score": np.bincount(w.doc, log[k], minlength=m) + end, "score": model.value.score(ids, off),
+                "n_known": np.bincount(w.doc, c[k] > 0, minlength=b.num_rows).astype(np.int64) + (end_count > 0),
+                "base_score": np.bincount(w.doc, log[k], minlength=b.num_rows) + end, "ids": each,
             }))
+        got = pd.concat(out)
+        got["g"], got["weight"], got["model"] = -1, 0, None
+        if learn:
+            # One order, however the texts arrived.
+            kept = [np.frombuffer(x, "<i4") for x in sorted(learn)]
+            mine = copy.copy(model.value)
+            mine.p = {k: x.copy() for k, x in mine.p.items()}
+            mine.learn(kept, epochs=1, rate=RATE)
+            row = {"doc_id": pd.array([None], "Int64"), "n_tokens": 0, "n_known": 0, "base_score": 0.0, "ids": None, "g": int(key[0]), "weight": sum(map(len, kept)), "model": [mine.flat().astype("<f4").tobytes()]}
+            got = pd.concat([got, pd.DataFrame(row)])
         util.give_back()
-        return pd.concat(out)
+        return got
 
     return run
 
 
-def score(docs: DataFrame, model: Attention, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+def _encoded(counts: Counts, end_id: int, model=None) -> DataFrame:
+    run = _encode(counts.groups, counts.n, counts.v, counts.learnt, end_id, model)
+    return util.materialise(counts.texts().cogroup(counts.answers.where("to >= 0").groupBy("to")).applyInPandas(run, _ENCODED), "encoded")
+
+
+def _sum(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    g = g.sort_values("g")
+    total = sum(np.frombuffer(m, "<f4").astype("<f8") * w for m, w in zip(g["model"], g["weight"], strict=True))
+    return pd.DataFrame({"k": [int(key[0])], "weight": [int(g["weight"].sum())], "total": [total.tobytes()]})
+
+
+def begin(docs: DataFrame, ids: np.ndarray, vocabulary: str, pattern: str) -> Attention:
+    """A model with the corpus counts of ids, trained on the SAMPLE_DOCS training documents whose ids have the smallest hash."""
     spark = docs.sparkSession
-    util.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, learnt = docs.agg(F.sum(F.octet_length("text")), F.count_if(~held_out())).first()
-    groups = buckets = util.parts_for(spark, total or 0, GROUP_BYTES)
-    texts = lambda: _parts(docs, groups).groupBy("g")
-    answers = util.materialise(texts().applyInPandas(_send(buckets), _ROW).groupBy("to").applyInPandas(_answer, _ROW), "counts")
-    n, v = answers.where("to < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    n, v = n + learnt, v + (learnt > 0)
-    shared = spark.sparkContext.broadcast(model)
-    run = _score(buckets, vocabulary, pattern, shared, n, v, learnt)
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = texts().cogroup(answers.where("to >= 0").groupBy("to")).applyInPandas(run, schema)
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    size = len(ids) - 1
+    names = docs.select("doc_id").where(~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    chosen = F.broadcast(spark.createDataFrame(names.toPandas(), names.schema))  # at most SAMPLE_DOCS rows
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary, pattern)
+        for b in util.pieces(batches):
+            w = Words(b)
+            _, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
+            flat, begin = subwords(bpe, w.some(first))
+            ids, off = text_ids(w, index, flat, begin, size)
+            each = [ids[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(each, pa.binary())], names=["k", "ids"])
+
+    rows = docs.join(chosen, "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("k"), "text").mapInArrow(cut, "k long, ids binary")
+    rows = rows.groupBy("k").agg(F.first("ids").alias("ids")).orderBy("k").collect()
+    kept, n = [], 0
+    for r in rows:
+        x = np.frombuffer(bytes(r.ids), np.int32)[: SAMPLE_IDS - n]
+        if len(x):
+            kept.append(x)
+            n += len(x)
+    model = Attention(size, ids)
+    if kept:
+        model.learn(kept)
+    return model
+
+
+def fit(docs: DataFrame, vocabulary: str, pattern: str, counts: Counts | None = None) -> Attention:
+    """Trained on all training documents. counts: of the same documents, where they are wanted again for `score`."""
+    counts = counts or count(docs, vocabulary, pattern)
+    model = begin(counts.docs, counts.ids, vocabulary, pattern)
+    if not counts.learnt:
+        return model
+    counts.encoded = _encoded(counts, model.end, docs.sparkSession.sparkContext.broadcast(model))
+    # About as many sums as each is made of, so that neither a task nor the driver meets all groups.
+    some = F.pmod("g", F.lit(max(1, round(counts.groups**0.5)))).alias("k")
+    sums = counts.encoded.where("g >= 0").select("g", "weight", "model", some).groupBy("k").applyInPandas(_sum, "k int, weight long, total binary").orderBy("k").collect()
+    model.set_flat(sum(np.frombuffer(bytes(r.total), "<f8") for r in sums) / sum(r.weight for r in sums))
+    return model
+
+
+def score(docs: DataFrame, model: Attention, vocabulary: str, pattern: str, counts: Counts | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
+    counts = counts or count(docs, vocabulary, pattern)
+    rows = _encoded(counts, model.end) if counts.encoded is None else counts.encoded
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "n_tokens", "n_known", "base_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x, "<i4") for x in b.column("ids").to_pylist()]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+            got = shared.value.score(np.concatenate(each), off) if each else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(got, pa.float64())], names=[*names, "score"])
+
+    out = rows.where("g < 0").select(*names, "ids").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -71,7 +71,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return lm.score(docs, lm.fit(docs, path, pattern), path, pattern)
+    counts = lm.count(docs, path, pattern)
+    return lm.score(docs, lm.fit(docs, path, pattern, counts), path, pattern, counts)
 
 
 OP8_SQL = r"""

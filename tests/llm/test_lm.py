@@ -95,3 +95,26 @@ def test_learns():
     before = m.score(ids, off)[0]
     m.fit(m.inputs(ids, off)[at], m.klass[ids][at], on, epochs=60)
     assert m.score(ids, off)[0] > 0.3 * before
+
+
+def test_all_training_documents_teach(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 3)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choices(words, k=60))) for i in range(120)]
+    teach = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    # One document's words in another order: no count changes, only what the windows hold.
+    fits = []
+    for swap in [None, *r.sample(teach, 4)]:
+        df = spark.createDataFrame([(i, " ".join(sorted(t.split())) if i == swap else t) for i, t in rows], "doc_id long, text string")
+        fits.append(lm.fit(df, PATH, P.PATTERN))
+    bpe = lm.load(PATH, P.PATTERN)
+    c = np.zeros(len(bpe.ranks) + 1)
+    for i, t in rows:
+        if i in teach:
+            for x in bpe.encode_pieces([b" " + w.encode() for w in t.split()]):
+                np.add.at(c, x, 1)
+            c[-1] += 1
+    want = lm.Attention(len(bpe.ranks), c)
+    assert all(np.array_equal(m.klass, want.klass) and np.array_equal(m.input, want.input) and np.allclose(m.within, want.within) for m in fits)
+    assert all(any(not np.array_equal(fits[0].p[k], m.p[k]) for k in m.p) for m in fits[1:])
