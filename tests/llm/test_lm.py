@@ -118,3 +118,10 @@ def test_all_training_documents_teach(spark, monkeypatch):
     want = lm.Attention(len(bpe.ranks), c)
     assert all(np.array_equal(m.klass, want.klass) and np.array_equal(m.input, want.input) and np.allclose(m.within, want.within) for m in fits)
     assert all(any(not np.array_equal(fits[0].p[k], m.p[k]) for k in m.p) for m in fits[1:])
+
+
+def test_context_and_classes():
+    m = lm.Attention(5000, 1 / np.arange(1, 5002))
+    assert m.classes > 96
+    at, on = m.windows(np.zeros(500, int), np.array([0, 500]))
+    assert (on[1:].argmax(1) >= 4).all()
