@@ -133,6 +133,15 @@ def trigram_jaccard(s, d):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
 
 
+@query()
+def trigram_jaccard_docs(s, d):
+    # Pairs within a source and a block of eight of its documents: 28 at most for each block.
+    block = F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 8).alias("block")
+    t = table(s, d, "documents").select("source", block, "doc_id", T.trigrams(F.col("text")).alias("g"))
+    a, b = t.withColumnsRenamed({"doc_id": "a", "g": "ga"}), t.withColumnsRenamed({"doc_id": "b", "g": "gb"})
+    return a.join(b, ["source", "block"]).where("a < b").select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+
+
 _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
 _TRIM = r"regexp_replace(regexp_replace({}, '^[\x00-\x20]+', ''), '[\x00-\x20]+$', '')"
 
@@ -497,14 +506,15 @@ def chunk_docs(s, d):
 
 @query()
 def chunk_tables(s, d):
-    md = files.table_markdown(table(s, d, "nation"), "nation.xlsx", "nation", "n_nationkey").select(F.lit(1).cast("long").alias("doc_id"), "text")
-    return chunking.chunk_docs(md, chunking.Sizes(table=400)).select("chunk_index", "content_type", "row_group", "text")
+    md = files.table_markdown(table(s, d, "nation"), "nation.xlsx", "nation", "n_nationkey").select(F.lit(-1).cast("long").alias("doc_id"), "text")
+    docs = table(s, d, "documents").select("doc_id", "text").unionByName(md)
+    return chunking.chunk_docs(docs, chunking.Sizes(table=400)).select("doc_id", "chunk_index", "content_type", "row_group", "text")
 
 
 @query()
 def embed_chunks(s, d):
-    e = context.embed(table(s, d, "benchmark"), context.hashing_embedder)
-    return e.select("item_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("norm"))
+    e = context.embed(chunking.chunk_docs(table(s, d, "documents")), context.hashing_embedder)
+    return e.select("doc_id", "chunk_id", F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("norm"))
 
 
 @query("""SELECT '## region.xlsx — region' || chr(10) || chr(10) || count(*) || ' rows x 2 columns: r_regionkey, r_name' || chr(10) || chr(10) || '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10)

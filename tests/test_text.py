@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import guards as G
 from ragloom.functions import text as T
 from ragloom.operators import chunking, context, noise, selection
+from ragloom.plans import queries
 from ragloom.sources import files, web
 
 
@@ -89,3 +90,16 @@ def test_context_and_sheets():
     assert md.startswith("## f.xlsx — S") and "2 rows x 2 columns" in md and "A\\|B" in md and "| x y |  |" in md
     assert files.sheet_markdown([(0, 0, "Name")], "f", "s") is None and files.sheet_markdown([], "f", "s") is None
     assert web.text_of("<html><head><title>t</title><style>p{}</style></head><body><p>One &amp; two<br>three</p><script>x</script></body>") == "One & two\nthree"
+
+
+def test_chunk_queries_see_documents(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(["leave", "pay", "sick", "days"], k=300)) + ".\n\n| a | b |\n| --- | --- |\n| 1 | 2 |", "en", f"s{i % 2}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x", 0, "y")], "n_nationkey long, n_name string, n_regionkey long, n_comment string").write.parquet(f"{tmp_path}/nation.parquet")
+    chunks = {(x.doc_id, x.chunk_id) for x in queries.chunk_docs(spark, str(tmp_path)).collect()}
+    assert len(chunks) > 20 and {(x.doc_id, x.chunk_id) for x in queries.embed_chunks(spark, str(tmp_path)).collect()} == chunks
+    assert {x.doc_id for x in queries.chunk_tables(spark, str(tmp_path)).collect() if x.content_type == "table"} == {-1, *range(20)}
+    grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in (re.sub(r"\s+", " ", x[1].lower()) for x in rows)]
+    got = {(x.a, x.b): x.similarity for x in queries.trigram_jaccard_docs(spark, str(tmp_path)).collect()}
+    assert got == {(a, b): pytest.approx(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), abs=1e-5) for a in range(20) for b in range(a + 2, 20, 2) if a // 16 == b // 16}
