@@ -138,12 +138,17 @@ def page_boilerplate(pages: DataFrame, least: int = 12, page_id: str = "page_id"
     return both.where((F.col("n") >= 2) & (F.col("pages") >= F.greatest(F.lit(2), F.floor((F.col("n") + 1) / 2)))).select("line", "pages")
 
 
-def page_clean(pages: DataFrame, boilerplate: DataFrame, page_id: str = "page_id") -> DataFrame:
-    """page_id, text: pages without the boilerplate lines, by an anti join on the normalised line and an ordered return."""
+def page_clean(pages: DataFrame, boilerplate: DataFrame, page_id: str = "page_id", names: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, text: pages without the boilerplate lines, by an anti join on the normalised line and an ordered return; then without their own noise."""
+
+    @F.pandas_udf("string")
+    def stripped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: strip(t, names)[0])
+
     rows = pages.select(page_id, F.posexplode(T.lines(F.col("text"))).alias("pos", "raw")).withColumn("line", T.squeeze(F.col("raw")))
     kept = rows.join(boilerplate.select("line"), "line", "left_anti")
     kept = kept.groupBy(page_id).agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("rows"))
-    text = F.regexp_replace(F.array_join(F.col("rows.raw"), "\n"), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(stripped(F.array_join(F.col("rows.raw"), "\n")), r"(?m)^[ \t]*\r?\n(?:[ \t]*\r?\n){2,}", "\n\n")
     return pages.select(page_id).join(kept.select(page_id, T.trim(text).alias("text")), page_id, "left").select(page_id, F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -103,3 +103,14 @@ def test_chunk_queries_see_documents(spark, tmp_path):
     grams = [{t[k : k + 3] for k in range(len(t) - 2)} for t in (re.sub(r"\s+", " ", x[1].lower()) for x in rows)]
     got = {(x.a, x.b): x.similarity for x in queries.trigram_jaccard_docs(spark, str(tmp_path)).collect()}
     assert got == {(a, b): pytest.approx(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), abs=1e-5) for a in range(20) for b in range(a + 2, 20, 2) if a // 16 == b // 16}
+
+
+def test_page_clean_strips_each_page(spark):
+    own = "Contents\n1.1 Leave .... 3\n# Body\n" + "Acme Running Title\nBody line.\n" * 3 + "Page 2 of 3\n \n\t\n\nend"
+    pages = [(i, f"Shared site navigation\n{own}\nonly on {i}") for i in range(3)] + [(9, "Shared site navigation")]
+    df = spark.createDataFrame(pages, "page_id long, text string")
+    shared = spark.createDataFrame([("shared site navigation",)], "line string")
+    got = {r.page_id: r.text for r in noise.page_clean(df, shared).collect()}
+    plain = lambda t: re.sub(r"(?m)^[ \t]*\n(?:[ \t]*\n){2,}", "\n\n", noise.strip("\n".join(x for x in t.split("\n") if noise.normalise(x) != "shared site navigation"))[0]).strip()
+    assert got == {i: plain(t) for i, t in pages}
+    assert "Page 2" not in got[0] and "Contents" not in got[0] and "Acme" not in got[0] and got[0].count("Body line.") == 3 and got[9] == ""
