@@ -16,6 +16,9 @@ _ROW = re.compile(r"\|.*\|\s*")
 _RULE = re.compile(r"\|[\s\-:|]+\|\s*")
 _CUT = re.compile(r"(?=\n#{1,4}\s)|(?=\n\d{1,2}\.\d{1,2}(?:\.\d{1,3})?\.?\s+[A-Za-z])|(?=\n\n)", re.A)
 _HEADING = re.compile(r"^#{1,4}\s+(.*)$", re.M)
+_SUB = re.compile(r"(\d{1,2}\.\d{1,2}\.\d{1,3})\.?(\s+.*)?", re.A)
+# Lines that contain what stands on every page of a document.
+_BOILERPLATE = re.compile(r"express written permission of|all rights reserved|©\s*\d{4}|date/month issued:|this document is confidential|page \d+ of \d+|version:\s*\d+", re.I | re.A)
 _NUMBERED = re.compile(r"^(\d{1,2}\.\d{1,2})\.?\s+([A-Za-z].*)$", re.M | re.A)
 
 
@@ -79,8 +82,15 @@ def split_row(row: str, budget: int) -> list[str]:
     return [*out, row]
 
 
+def strip_boilerplate(text: str) -> str:
+    return "\n".join(x for x in text.split("\n") if not _BOILERPLATE.search(x))
+
+
 def table_chunks(text: str, section: str, sizes: Sizes) -> list[Chunk]:
+    text = strip_boilerplate(text)
     lines = [x for x in text.split("\n") if x.strip()]
+    if not lines:
+        return []
     rule = next((i for i, x in enumerate(lines[:3]) if _RULE.fullmatch(x)), None)
     head = lines[: rule + 1] if rule is not None else lines[:1]
     rows = lines[len(head) :]
@@ -140,8 +150,19 @@ def heading(text: str) -> str:
     return f"{no[1]} {no[2]}".strip() if no and len(no[0]) <= 120 else ""
 
 
-def text_chunks(text: str, section: str, sizes: Sizes) -> tuple[list[Chunk], str]:
-    """Chunks of prose, and the section it ends in. A new section never shares a chunk with the one before."""
+def numbered_sub(text: str) -> str:
+    """The N.N.N number that the first line with text begins with."""
+    first = next((x.strip() for x in text.split("\n") if x.strip()), "")
+    m = _SUB.fullmatch(first)
+    return m[1] if m else ""
+
+
+def effective(section: str, sub: str) -> str:
+    return f"{section} / {sub}" if section and sub else section or sub
+
+
+def text_chunks(text: str, section: str, sizes: Sizes, sub: str = "") -> tuple[list[Chunk], str, str]:
+    """Chunks of prose, and the section and sub-point it ends in. A new one never shares a chunk with the one before."""
     out: list[Chunk] = []
     held = ""
     fresh = False  # held has more than carried-over text
@@ -149,30 +170,39 @@ def text_chunks(text: str, section: str, sizes: Sizes) -> tuple[list[Chunk], str
     def flush() -> None:
         body = held.strip()
         if body and fresh:
-            label = f"[{section}]\n" if section and not body.startswith(f"[{section}]") else ""
-            out.append(Chunk("text", section, label + body))
+            at = effective(section, sub)
+            label = f"[{at}]\n" if at and body.split("\n", 1)[0].strip() != f"[{at}]" else ""
+            out.append(Chunk("text", at, label + body))
 
-    for part in fragments(text, sizes.chunk):
+    for part in fragments(strip_boilerplate(text), sizes.chunk):
         new = heading(part)
-        if new and new != section:
+        point = "" if new else numbered_sub(part)
+        if (new and new != section) or (point and point != sub):
             flush()
-            held, fresh, section = "", False, new
-        elif held and len(held) + len(part) > sizes.chunk:
+            held, fresh = "", False
+        elif new and sub:
+            flush()  # the section's own heading again: its sub-point has ended
+            held, fresh = "", False
+        if new:
+            section, sub = new, ""
+        elif point:
+            sub = point
+        if held and len(held) + len(part) > sizes.chunk:
             flush()
             held, fresh = (tail(held, sizes.overlap) + "\n" if sizes.overlap else ""), False
         held, fresh = held + part, True
     flush()
-    return out, section
+    return out, section, sub
 
 
 def split(text: str, sizes: Sizes = Sizes(), names: tuple[str, ...] = ()) -> list[Chunk]:
     out: list[Chunk] = []
-    section = ""
+    section = sub = ""
     for table, part in join_tables(blocks(noise.strip(text, names)[0]), sizes.table):
         if table:
-            out += table_chunks(part, section, sizes)
+            out += table_chunks(part, effective(section, sub), sizes)
         elif part.strip():
-            got, section = text_chunks(part, section, sizes)
+            got, section, sub = text_chunks(part, section, sizes, sub)
             out += got
     return out
 

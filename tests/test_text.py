@@ -114,3 +114,11 @@ def test_page_clean_strips_each_page(spark):
     plain = lambda t: re.sub(r"(?m)^[ \t]*\n(?:[ \t]*\n){2,}", "\n\n", noise.strip("\n".join(x for x in t.split("\n") if noise.normalise(x) != "shared site navigation"))[0]).strip()
     assert got == {i: plain(t) for i, t in pages}
     assert "Page 2" not in got[0] and "Contents" not in got[0] and "Acme" not in got[0] and got[0].count("Body line.") == 3 and got[9] == ""
+
+
+def test_sub_points_and_page_lines():
+    doc = "4.2 Annual Leave\nIntro of the section.\n4.2.1 Who may\nALPHA of the first point.\nSee overleaf, © 2024 Acme, for more.\n4.2.2. How\nBETA of the second point.\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n4.3 Sick Leave\nGAMMA after it."
+    got = chunking.split(doc)
+    assert [(c.kind, c.section) for c in got] == [("text", "4.2 Annual Leave"), ("text", "4.2 Annual Leave / 4.2.1"), ("text", "4.2 Annual Leave / 4.2.2"), ("table", "4.2 Annual Leave / 4.2.2"), ("text", "4.3 Sick Leave")]
+    assert got[1].text == "[4.2 Annual Leave / 4.2.1]\n4.2.1 Who may\nALPHA of the first point." and "BETA" in got[2].text and "GAMMA" in got[4].text
+    assert chunking.split("1.2.3 x\nsome words")[0].section == "1.2.3"
