@@ -152,7 +152,12 @@ def page_clean(pages: DataFrame, boilerplate: DataFrame, page_id: str = "page_id
     return pages.select(page_id).join(kept.select(page_id, T.trim(text).alias("text")), page_id, "left").select(page_id, F.coalesce("text", F.lit("")).alias("text"))
 
 
-def page_gate(cleaned: DataFrame, raw: str = "raw_text", text: str = "text", enough: int = 300, raw_enough: int = 200) -> DataFrame:
-    """status ok, kept_raw or failed, and the text that goes on."""
-    status = F.when(F.length(text) >= enough, "ok").when((F.length(raw) >= raw_enough) & (F.length(text) < F.length(raw)), "kept_raw").otherwise("failed")
-    return cleaned.withColumn("status", status).withColumn("text", F.when(F.col("status") == "kept_raw", F.col(raw)).when(F.col("status") == "ok", F.col(text)))
+def page_gate(cleaned: DataFrame, boilerplate: DataFrame | None = None, raw: str = "raw_text", text: str = "text", enough: int = 300, raw_enough: int = 200) -> DataFrame:
+    """status ok, kept_raw or failed, and the text that goes on. Raw text is kept only where the run has boilerplate lines."""
+    names = cleaned.columns
+    if boilerplate is None:
+        cleaned = cleaned.withColumn("any shared", F.lit(False))
+    else:
+        cleaned = cleaned.join(F.broadcast(boilerplate.agg((F.count("*") > 0).alias("any shared"))), F.lit(True))  # one row
+    status = F.when(F.length(text) >= enough, "ok").when((F.length(raw) >= raw_enough) & F.col("any shared"), "kept_raw").otherwise("failed")
+    return cleaned.withColumn("status", status).select(*names, "status").withColumn("text", F.when(F.col("status") == "kept_raw", F.col(raw)).when(F.col("status") == "ok", F.col(text)))

@@ -499,6 +499,14 @@ def page_gate(s, d):
     return noise.page_gate(table(s, d, "documents").withColumn("raw_text", F.col("text"))).select("doc_id", "status")
 
 
+@query()
+def page_gate_pages(s, d):
+    t = web.html_text(table(s, d, "pages"))
+    shared = noise.page_boilerplate(t)
+    cleaned = noise.page_clean(t, shared).join(t.withColumnRenamed("text", "raw_text"), "page_id")
+    return noise.page_gate(cleaned, shared).select("page_id", "status", "text")
+
+
 @query()
 def chunk_docs(s, d):
     return chunking.chunk_docs(table(s, d, "documents")).select("doc_id", "chunk_id", "chunk_index", "total_chunks", "content_type", "section_header")

@@ -122,3 +122,14 @@ def test_sub_points_and_page_lines():
     assert [(c.kind, c.section) for c in got] == [("text", "4.2 Annual Leave"), ("text", "4.2 Annual Leave / 4.2.1"), ("text", "4.2 Annual Leave / 4.2.2"), ("table", "4.2 Annual Leave / 4.2.2"), ("text", "4.3 Sick Leave")]
     assert got[1].text == "[4.2 Annual Leave / 4.2.1]\n4.2.1 Who may\nALPHA of the first point." and "BETA" in got[2].text and "GAMMA" in got[4].text
     assert chunking.split("1.2.3 x\nsome words")[0].section == "1.2.3"
+
+
+def test_page_gate_keeps_raw_text(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x" * 300, "x" * 300), (2, "y" * 250, "y" * 250), (3, "z" * 199, "z" * 199), (4, "", "w" * 200)], "page_id long, text string, raw_text string")
+    shared = spark.createDataFrame([("a shared line",)], "line string")
+    got = {r.page_id: (r.status, r.text) for r in noise.page_gate(df, shared).collect()}
+    assert got == {1: ("ok", "x" * 300), 2: ("kept_raw", "y" * 250), 3: ("failed", None), 4: ("kept_raw", "w" * 200)}
+    assert {r.status for r in noise.page_gate(df, shared.limit(0)).where("page_id > 1").collect()} == {"failed"}
+    html = [(i, f"u{i}", f"<body><p>Shared site navigation</p><p>{c * n}</p></body>") for i, c, n in ((1, "a", 400), (2, "b", 230), (3, "c", 20))]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.status for r in queries.page_gate_pages(spark, str(tmp_path)).collect()} == {1: "ok", 2: "kept_raw", 3: "failed"}
