@@ -364,7 +364,7 @@ def guard_foul(s, d):
 
 @query()
 def guard_casual(s, d):
-    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", G.is_casual(F.substring("text", 1, 10**6)).alias("casual"))
+    return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", G.is_casual(F.col("text")).alias("casual"))
 
 
 def _before():

@@ -133,3 +133,9 @@ def test_page_gate_keeps_raw_text(spark, tmp_path):
     html = [(i, f"u{i}", f"<body><p>Shared site navigation</p><p>{c * n}</p></body>") for i, c, n in ((1, "a", 400), (2, "b", 230), (3, "c", 20))]
     spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.page_id: r.status for r in queries.page_gate_pages(spark, str(tmp_path)).collect()} == {1: "ok", 2: "kept_raw", 3: "failed"}
+
+
+def test_casual_reads_whole_turns(spark, tmp_path):
+    rows = [(1, 1, "user", "thanks a lot " + "x " * 500_000 + "what is the leave policy"), (2, 1, "user", "thanks a lot")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.conv_id: r.casual for r in queries.guard_casual(spark, str(tmp_path)).collect()} == {1: False, 2: True}
