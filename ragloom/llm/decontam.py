@@ -13,8 +13,11 @@ The items' table is broadcast in blocks of at most BLOCK_CHARS characters, each
 of which goes over the texts once, so that what is broadcast has a fixed bound
 however large the benchmark is.
 
+Items of fewer than q characters have no edit budget: they are found as exact
+parts, through a table of the items of each length.
+
 Defined cases: null and empty texts hold nothing. Items that are null, have a
-null id or fewer than q characters after normalising are not searched for.
+null id or are empty after normalising are not searched for.
 Equal items are found each under its own id. Repeated rows are judged each for
 itself; a row with a null id is judged too.
 """
@@ -69,7 +72,12 @@ class Items:
     """Benchmark items with a table of their q-grams: sorted hashes with (item, place) of each."""
 
     def __init__(self, ids: list[int], texts: list[str], q: int = Q, rate: float = RATE):
-        keep = sorted((i, t) for i, t in ((i, normalise(t)) for i, t in zip(ids, texts, strict=True)) if i is not None and len(t) >= q)
+        named = sorted((i, t) for i, t in ((i, normalise(t)) for i, t in zip(ids, texts, strict=True)) if i is not None and t)
+        keep = [(i, t) for i, t in named if len(t) >= q]
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for i, t in named:
+            if len(t) < q:
+                self.short.setdefault(len(t), {}).setdefault(t, []).append(i)
         self.q, self.ids, self.texts = q, np.array([i for i, _ in keep], np.int64), [np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, t in keep]
         self.plain = [t for _, t in keep]
         self.length = np.array([len(t) for t in self.texts], np.int64)
@@ -99,6 +107,21 @@ class Items:
         e = np.arange(len(of)) - (np.cumsum(n) - n)[of] + self.start[k][of]
         return at[of], self.item[e], self.place[e]
 
+    def whole(self, norm: list[str], codes: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text number, item id, start, end, 0): each short item at its first place in each text."""
+        for n, plain in self.short.items():
+            first = np.unique(np.array([_grams(np.frombuffer(t.encode("utf-32-le"), np.uint32), n)[0] for t in plain], util.U64))
+            h = _grams(codes, n)
+            k = np.minimum(np.searchsorted(first, h), len(first) - 1)
+            at = np.flatnonzero(first[k] == h)
+            doc = np.searchsorted(off, at, "right") - 1
+            inside = at + n <= off[doc + 1]
+            at, k, doc = at[inside], k[at][inside], doc[inside]
+            _, new = np.unique(doc * len(first) + k, return_index=True)
+            for d, a in zip(doc[new].tolist(), (at - off[doc])[new].tolist(), strict=True):
+                for i in plain.get(norm[d][a : a + n], ()):
+                    yield d, i, a, a + n, 0
+
     def regions(self, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, band's first diagonal) where a band of diagonals holds enough of an item's q-grams.
 
@@ -186,7 +209,8 @@ def find(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int
         n, start, end = align(items.texts[i], part, lo - e - a, lo + 2 * w - 1 + e - a)
         if n <= e and (n, start + a, end + a) < best.get((d, i), (e + 1, 0, 0)):
             best[d, i] = n, start + a, end + a
-    return [(d, int(items.ids[i]), start, end, n) for (d, i), (n, start, end) in sorted(best.items())]
+    found = [(d, int(items.ids[i]), start, end, n) for (d, i), (n, start, end) in sorted(best.items())]
+    return sorted([*found, *items.whole(norm, codes, off)]) if items.short else found
 
 
 def item_blocks(benchmark: DataFrame, q: int = Q, rate: float = RATE) -> Iterator[Items]:

@@ -74,3 +74,15 @@ def test_align():
     assert decontam.align(code("abcd"), code("xxabcdxx"), -8, 8) == (0, 2, 6)
     assert decontam.align(code("abcd"), code("xxabdxx"), -8, 8)[0] == 1
     assert decontam.align(code("abcd"), code(""), -8, 8)[0] == 4
+
+
+def test_short_items(spark):
+    r = random.Random(6)
+    items = [(k, "".join(r.choice("abé ") for _ in range(r.randrange(1, 8)))) for k in range(60)] + [(70, " "), (71, "ab"), (72, "AB"), (73, "a long item of many characters"), (None, "b")]
+    docs = [(i, "".join(r.choice("abcé \n") for _ in range(r.randrange(0, 40)))) for i in range(60)] + [(90, None), (91, "ab"), (92, "zzz"), (93, "so a long item of many characters")]
+    plain = [(k, decontam.normalise(t)) for k, t in items if k is not None and decontam.normalise(t)]
+    want = {(i, k, decontam.normalise(t).find(x)) for i, t in docs for k, x in plain if x in decontam.normalise(t)}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(d, b).collect()
+    assert {(x.doc_id, x.item_id, x.start) for x in got} == want and len(got) == len(want)
+    assert {x.doc_id for x in decontam.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, *_ in want}
