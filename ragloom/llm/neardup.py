@@ -11,12 +11,15 @@ spaced scale, truncated at both ends. Processes stop as soon as they can change
 no register any more. Sketches of sets merge register by register.
 
 Bands of registers are join keys. In each band's bucket the smallest
-representative is paired with the others; verified links give components, and
-only buckets still holding several components are looked at again, blockwise,
-for pairs of different components whose joint likelihood estimate leaves the
-threshold possible. Every link counts only after comparing the full sets, and
-links skipped are those within a component already found, so that components
-are those of all links between documents that share a band.
+representative is compared with the others; verified links give components, and
+only buckets that still hold several components are looked at again, for pairs
+of different components. There the members of all but a bucket's largest
+component meet all others, a pair of bounded blocks at a time; a block pair
+compares in place: a pair is looked at in the first band that it shares, its
+joint likelihood estimate must leave the threshold possible, and then the full
+sets are compared. A block pair gives at most a spanning set of links, never
+its pairs. Links skipped are those within a component already found, so that
+components are those of all links between documents that share a band.
 
 With the defaults a pair of similarity 0.8 shares no band with probability
 (1 - 0.8^4)^32 = 5e-8.
@@ -47,10 +50,8 @@ BASE, TOP = 1.001, 65535
 SHIFT = 32768
 #: Estimates this far below the threshold are ruled out: over five standard deviations for 128 registers.
 MARGIN = 0.2
-#: Partners that a member names in each round of the second search; the last round names all.
-ROUNDS = (1, 8, 64, None)
-#: Members of a bucket's block in the second search.
-BLOCK = 256
+#: Members of a block, and the shingles that it holds on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
@@ -96,24 +97,32 @@ def sketch(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return np.clip(k, 0, TOP).astype("<u2").reshape(-1, m)
 
 
+def _likelihood(j, up: np.ndarray, down: np.ndarray, same: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Joint log likelihood of similarity j for sets of which the first has the share u of both sizes. It is concave in j."""
+    p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    one, two = p(u - (1 - u) * j), p(1 - u - u * j)
+    return up * np.log(one) + down * np.log(two) + same * np.log(np.clip(1 - one - two, 1e-9, 1))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard similarity of sketched sets of known sizes: the joint likelihood's maximum on a grid of hundredths."""
     up, down = (a > b).sum(-1), (a < b).sum(-1)
-    same = a.shape[-1] - up - down
-    u = na / (na + nb)
-    v = 1 - u
-    p = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    same, u = a.shape[-1] - up - down, na / (na + nb)
     best, out = np.full(u.shape, -np.inf), np.zeros(u.shape)
     for j in np.arange(0, 1.0001, 0.01):
-        pa_, pb_ = p(u - v * j), p(v - u * j)
-        rest = np.clip(1 - pa_ - pb_, 1e-9, 1)
-        value = up * np.log(pa_) + down * np.log(pb_) + same * np.log(rest)
-        value = np.where(j <= np.minimum(na, nb) / np.maximum(na, nb) + 0.01, value, -np.inf)
+        value = np.where(j <= np.minimum(na, nb) / np.maximum(na, nb) + 0.01, _likelihood(j, up, down, same, u), -np.inf)
         out = np.where(value > best, j, out)
         best = np.maximum(best, value)
     return out
 
 
+def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate is at least `least`: the likelihood, being concave, still rises towards it."""
+    up, down = (a > b).sum(-1), (a < b).sum(-1)
+    same, u = a.shape[-1] - up - down, na / (na + nb)
+    return _likelihood(least, up, down, same, u) >= _likelihood(least - 0.01, up, down, same, u)
+
+
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The registers of the union of two sketched sets."""
     return np.maximum(a, b)
@@ -138,42 +147,25 @@ def features(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _banded(reps: DataFrame) -> DataFrame:
-    """(bucket, rep, n): a row for each band of each representative."""
+    """(bucket, band, rep, n): a row for each band of each representative."""
     width = 2 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
-    return reps.select("rep", "n", F.explode(bands).alias("bucket"))
+    return reps.select("rep", "n", F.posexplode(bands).alias("band", "bucket"))
 
 
 def _possible(a: str, b: str, num: int, den: int):
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union. Texts travel, not sets: they are smaller."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in util.pieces(batches, "ta", 1 << 20):
-            one, two = (shingles(*util.buffer(p, c), words) for c in ("ta", "tb"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(one, two, strict=True)], np.int64)
-            total = np.array([len(x) + len(y) for x, y in zip(one, two, strict=True)], np.int64) - both
-            ok = pa.array(den * both >= num * total)
-            yield pa.RecordBatch.from_arrays([p.column("a").filter(ok), p.column("b").filter(ok)], names=["a", "b"])
-
-    t = texts.select("doc_id", "text")
-    joined = pairs.join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The joint estimate of pairs of sketched sets that may reach the threshold, -1 for the others."""
-    out = np.full(len(x), -1.0)
+    """Whether pairs of sketched sets may reach the threshold."""
     ok = np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num
     # Equal registers alone rule most pairs out: the estimate is not far above their share.
     at = np.flatnonzero(ok)
-    at = at[(x[at] == y[at]).mean(1) >= num / den - 1.8 * MARGIN]
-    value = estimate(x[at], y[at], nx[at].astype(float), ny[at].astype(float))
-    out[at] = np.where(value >= num / den - MARGIN, value, -1.0)
-    return out
+    ok[at] = (x[at] == y[at]).mean(1) >= num / den - 1.8 * MARGIN
+    at = np.flatnonzero(ok)
+    ok[at] = reaches(x[at], y[at], nx[at].astype(float), ny[at].astype(float), num / den - MARGIN)
+    return ok
 
 
 def _regs(column: pa.Array) -> np.ndarray:
@@ -187,62 +179,164 @@ def _estimated(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 p = b.slice(lo, 4096)
-                ok = pa.array(_near(_regs(p.column("ra")), _regs(p.column("rb")), p.column("na").to_numpy(), p.column("nb").to_numpy(), num, den) >= 0)
+                ok = pa.array(_near(_regs(p.column("ra")), _regs(p.column("rb")), p.column("na").to_numpy(), p.column("nb").to_numpy(), num, den))
                 yield pa.RecordBatch.from_arrays([p.column("a").filter(ok), p.column("b").filter(ok)], names=["a", "b"])
 
     one, two = (reps.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c)) for c in "ab")
     return pairs.join(one, "a").where("a <> b").join(two, "b").where(_possible("na", "nb", num, den)).mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """Pairs of different components in a bucket that may reach the threshold, a pair of blocks at a time; not its leader's.
+def shared_sizes(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of the sets numbered left with those numbered right, as products of incidence matrices, some shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    mine = np.full(len(sets), -1)
+    mine[left] = np.arange(len(left))
+    theirs = np.full(len(sets), -1)
+    theirs[right] = np.arange(len(right))
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[number] > 1  # a shingle of one set alone is in no intersection
+    of, number = of[common], np.unique(number[common], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    of, number = of[order], number[order]
+    top = int(number[-1]) + 1 if len(number) else 0
+    for lo in range(0, top, columns):
+        a, b = np.searchsorted(number, [lo, lo + columns])
+        width = min(columns, top - lo)
+        parts = []
+        for place, size in ((mine, len(left)), (theirs, len(right))):
+            m = np.zeros((size, width), np.float32)
+            at = np.flatnonzero(place[of[a:b]] >= 0) + a
+            m[place[of[at]], number[at] - lo] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
 
-    Each member outside its blocks' largest component names its `most` likeliest partners (None: all).
-    members: bucket, rep, n, component, regs, blocks (how many the bucket is dealt into).
+def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
+    """Of the links between i and j, in order, those that join components that the ones before do not."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (a, b) in enumerate(zip(comp[i].tolist(), comp[j].tolist(), strict=True)):
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def _links(block: pa.Table, words: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between the members of two blocks (of one, if x = y) of one bucket whose components differ.
+
+    block: x and y (the same in all rows), at (a member's own block: x or y), band (null: pairs are looked at whatever
+    their first band), rep, n, component, regs, text.
     """
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    m = members.withColumn("_b", block)
-    # A member meets every block of its bucket.
-    m = m.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("_o"))
-    m = m.select("bucket", F.least("_b", "_o").alias("lo"), F.greatest("_b", "_o").alias("hi"), F.struct("rep", "n", "component", "_b", "regs").alias("m"))
-    tasks = m.groupBy("bucket", "lo", "hi").agg(F.collect_list("m").alias("m"))  # two blocks at most
-
-    def one(rep, n, comp, at, regs, lo, hi):
-        if lo == hi:
-            i, j = np.triu_indices(len(rep), 1)
-        else:
-            x, y = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
-            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-        on = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+    x, y = block.column("x")[0].as_py(), block.column("y")[0].as_py()
+    rep, n, comp, at = (block.column(c).to_numpy() for c in ("rep", "n", "component", "at"))
+    band = block.column("band").fill_null(-1).to_numpy()
+    regs = _regs(block.column("regs").combine_chunks())
+    one, two = np.flatnonzero(at == x), np.flatnonzero(at == y)
+    many = max(1, 8192 // max(len(two), 1))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(one), many):
+        some = one[lo : lo + many]
+        i, j = np.repeat(some, len(two)), np.tile(two, len(some))
+        on = comp[i] != comp[j]
+        if x == y:
+            on &= i < j
         i, j = i[on], j[on]
-        value = np.concatenate([np.zeros(0), *(_near(regs[i[k : k + 20_000]], regs[j[k : k + 20_000]], n[i[k : k + 20_000]], n[j[k : k + 20_000]], num, den) for k in range(0, len(i), 20_000))])
-        i, j, value = i[value >= 0], j[value >= 0], value[value >= 0]
-        names, count = np.unique(comp, return_counts=True)
-        largest = names[count.argmax()]
-        who, whom, value = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([value, value])
-        small = comp[who] != largest
-        who, whom, value = who[small], whom[small], value[small]
-        order = np.lexsort((rep[whom], -value, who))
-        who, whom = who[order], whom[order]
-        if most is not None and len(who):
-            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
-            who, whom = who[place < most], whom[place < most]
-        return np.minimum(rep[who], rep[whom]), np.maximum(rep[who], rep[whom])
+        ok = _near(regs[i], regs[j], n[i], n[j], num, den)
+        i, j = i[ok], j[ok]
+        first = (regs[i] == regs[j]).reshape(len(i), regs.shape[1] // BAND, BAND).all(2).argmax(1)
+        ok = (band[i] < 0) | (first == band[i])
+        left.append(i[ok])
+        right.append(j[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+    if not len(i):
+        return i, j
+    who, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sets = shingles(*util.buffer(pa.RecordBatch.from_arrays([block.column("text").take(pa.array(who)).combine_chunks()], names=["text"])), words)
+    a, b = place[: len(i)], place[len(i) :]
+    rows, cols = np.unique(a), np.unique(b)
+    both = shared_sizes(sets, rows, cols)[np.searchsorted(rows, a), np.searchsorted(cols, b)]
+    size = np.array([len(s) for s in sets])
+    ok = np.flatnonzero(den * both >= num * (size[a] + size[b] - both))
+    keep = ok[_spanning(comp, i[ok], j[ok])]
+    return rep[i[keep]], rep[j[keep]]
+
+
+def compare(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b): links found in the block pairs (key, x, y) of members, which are as _links takes them."""
+    key = ["key", "x", "y"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = b.column("m").flatten()
-            rep, n, comp, at = (flat.field(c).to_numpy() for c in ("rep", "n", "component", "_b"))
-            regs = _regs(flat.field("regs"))
-            ends = np.cumsum(b.column("m").value_lengths().to_numpy())
-            for end, begin, lo, hi in zip(ends, np.append(0, ends[:-1]), b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True):
-                x, y = one(*(v[begin:end] for v in (rep, n, comp, at, regs)), lo, hi)
-                if len(x):
-                    both = np.unique(np.stack([x, y]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+        last = None
 
-    return tasks.mapInArrow(run, "a long, b long").distinct()
+        def out() -> Iterator[pa.RecordBatch]:
+            a, b = _links(pa.Table.from_batches(held), words, num, den)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(c).to_numpy() for c in key], 1)
+            edge = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if held and tuple(k[lo]) != last:
+                    yield from out()
+                    held = []
+                last = tuple(k[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from out()
+        util.give_back()
+
+    return members.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def _blocks(count, size):
+    """Blocks for so many members with so many shingles in all."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+
+def _star_members(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) as blocks: each a with its partners, dealt into as many as their number asks for, so that a's text travels once for each."""
+    sized = pairs.join(reps.groupBy(F.col("rep").alias("b")).agg(F.max("n").alias("_n")), "b")
+    size = sized.groupBy("a").agg(_blocks(F.count("*"), F.sum("_n")).alias("blocks"))
+    deal = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int") + 1
+    partners = pairs.join(size, "a").select(F.col("a").alias("key"), F.lit(0).alias("x"), deal.alias("y"), deal.alias("at"), F.col("b").alias("rep"))
+    leaders = size.select(F.col("a").alias("key"), F.lit(0).alias("x"), F.explode(F.sequence(F.lit(1), "blocks")).alias("y"), F.lit(0).alias("at"), F.col("a").alias("rep"))
+    rows = partners.unionByName(leaders).withColumn("band", F.lit(None).cast("int")).withColumn("component", F.col("rep"))
+    return rows.join(reps.select("rep", "n", "regs"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+
+
+def _split_members(named: DataFrame) -> DataFrame:
+    """The block pairs of buckets that hold several components, without sketches and texts.
+
+    The largest component's members are in blocks of their own, numbered below zero; each of the others' blocks meets
+    these and each other, itself included.
+    named: bucket, band, rep, n, component.
+    """
+    each = named.groupBy("bucket", "component").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
+    top = F.max(F.struct("_n", "component", "_s"))
+    split = each.groupBy("bucket").agg(top.alias("_t"), F.count("*").alias("_c"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s")).where("_c > 1")
+    t = F.col("_t")
+    split = split.select("bucket", t["component"].alias("_big"), _blocks(t["_n"], t["_s"]).alias("_l"), _blocks(F.col("_n") - t["_n"], F.col("_s") - t["_s"]).alias("_k"))
+    big = F.col("component") == F.col("_big")
+    at = F.when(big, -1 - F.pmod(F.xxhash64("rep"), F.col("_l"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("_k"))).cast("int")
+    to = F.when(big, F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(F.sequence(-F.col("_l"), F.col("_k") - 1))
+    rows = named.join(split, "bucket").withColumn("at", at).select("*", F.explode(to).alias("_o"))
+    small, large = F.least("at", "_o"), F.greatest("at", "_o")
+    return rows.select(F.col("bucket").alias("key"), large.alias("x"), small.alias("y"), "at", "band", "rep", "n", "component")
 
 
 def _same_id(real: DataFrame, reps: DataFrame) -> DataFrame:
@@ -261,33 +355,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last")).where("leader < _last").drop("_last")
     buckets = util.materialise(banded.join(shared, "bucket"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Only texts of the pairs' documents travel: the pairs are written first, so that Spark knows how few they are."""
-        some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = util.materialise(docs.join(util.materialise(some, "ids"), "doc_id", "left_semi").distinct(), "texts")
-        return util.materialise(verify(pairs, texts, words, num, den), "links")
+    def texts(some: DataFrame) -> DataFrame:
+        """Texts of the documents in some; these are written first, so that Spark knows how few they are."""
+        some = util.materialise(some.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        return util.materialise(docs.join(some, "doc_id", "left_semi").distinct(), "texts")
 
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     tried = util.materialise(_estimated(stars, reps, num, den), "pairs")
-    links = verified(tried)
+    both = tried.select(F.col("a").alias("rep")).unionByName(tried.select(F.col("b").alias("rep")))
+    links = util.materialise(compare(_star_members(tried, reps, texts(both)), words, num, den), "links")
     comp = util.materialise(components(links, "a", "b"), "components")
 
-    # Buckets that still hold several components, and members besides the leader that have not met. Near copies soon
-    # join by their likeliest partners; only what stays apart names all that its sketches leave possible.
-    others = buckets.where("rep <> leader")
-    for most in ROUNDS:
-        named = others.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).where("_c < _d")
-        split = util.materialise(split.select("bucket", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "split")
-        if split.isEmpty():
-            break
-        left = named.join(split, "bucket").select("bucket", "rep", "n", "component", "blocks")
+    # A bucket's leader has met the others; pairs of these are left where they are not yet of one component.
+    others = buckets.where("rep <> leader").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    left = util.materialise(_split_members(others), "members")
+    if not left.isEmpty():
         members = left.join(reps.select("rep", "regs", F.col("n").alias("_n")), "rep").where("n = _n").drop("_n")
-        more = util.materialise(_cross_pairs(members, num, den, most).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(more)
-        if not more.isEmpty():
-            links = links.unionByName(verified(more))
-            comp = util.materialise(components(links, "a", "b"), "components")
+        members = members.join(texts(left).withColumnRenamed("doc_id", "rep"), "rep")
+        links = links.unionByName(util.materialise(compare(members, words, num, den), "links"))
     links = links.unionByName(_same_id(real, reps))
 
     comp = util.materialise(components(links, "a", "b"), "components")

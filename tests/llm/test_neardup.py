@@ -88,3 +88,37 @@ def test_sketch():
         j = both / len(x)
         assert abs((s[0] == s[1]).mean() - j) < 0.05
         assert abs(neardup.estimate(s[:1], s[1:2], np.array([n * 1.0]), np.array([n * 1.0]))[0] - j) < 0.05
+
+
+def test_reaches_is_the_estimate():
+    r = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        x = r.integers(0, 2**63, 600).astype(np.uint64)
+        sets += [x[:300], x[int(r.integers(0, 280)) :][:300]]
+    s, n = neardup.sketch(sets), np.full(40, 300.0)
+    for least in (0.4, 0.6):
+        want = neardup.estimate(s[::2], s[1::2], n, n) >= least - 1e-9
+        assert (neardup.reaches(s[::2], s[1::2], n, n, least) == want).all() and 0 < want.sum() < 40
+
+
+def test_shared_sizes_and_spanning_links():
+    r = np.random.default_rng(9)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(20)] + [np.array([999], np.uint64)]
+    left, right = np.arange(0, 12), np.arange(5, 21)
+    want = [[len(np.intersect1d(sets[i], sets[j])) if i != j else None for j in right] for i in left]
+    got = neardup.shared_sizes(sets, left, right, columns=7)
+    assert all(w is None or w == g for a, b in zip(want, got.tolist()) for w, g in zip(a, b))
+    assert neardup._spanning(np.array([5, 5, 9, 7]), np.array([0, 1, 0, 2]), np.array([2, 2, 3, 3])) == [0, 2]
+
+
+def test_long_text_and_many_unlinked_members(spark):
+    r = random.Random(4)
+    word = lambda: "w%d" % r.randrange(40000)
+    long = [word() for _ in range(60000)]
+    base = [word() for _ in range(100)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:55000] + [word() for _ in range(3000)])), (3, " ".join(long[:40000]))]
+    # Members share their base's bands, but few of them are links: blocks on both sides.
+    rows += [(100 + i, " ".join(x if r.random() < 0.94 else word() for x in base)) for i in range(600)]
+    r.shuffle(rows)
+    assert got(spark, rows, 2) == brute(rows, 2)
