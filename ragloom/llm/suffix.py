@@ -9,19 +9,21 @@ the same place. So a window need only meet the windows of its anchor's hash:
 
 1. Whole texts that occur more than once are represented by their smallest id;
    of the others all windows repeat.
-2. Texts are dealt into groups as compressed blocks. Each group sends its
-   distinct anchor hashes to the hashes' buckets, which answer, in the order
+2. Texts are dealt into groups as compressed blocks, written once. Each group
+   sends its distinct anchor hashes to the hashes' buckets, which answer, in the order
    sent, which are found in other texts too.
 3. For those anchors each group sends the texts of the windows they stand for,
    once for each distinct text, with the smallest id that has it. A bucket puts
-   them into one buffer, orders all window starts by suffix, and answers each
-   with the smallest id among equal windows.
+   them into buffers of bounded size, all those of an anchor into one, orders
+   all window starts by suffix, and answers each with the smallest id among
+   equal windows. Texts are told apart by 128 bits of hash.
 4. Each group covers the bytes of windows that a smaller id has.
 
 Suffix order is built blockwise over a difference cover: the suffixes at the
 cover's places are ranked once; then one bucket of suffixes (by first bytes) is
 sorted at a time by as many bytes as the cover's period, and ties that long are
 resolved by the ranks of two places, equally far ahead, that the cover holds.
+Where only so many bytes matter, ranks go no deeper.
 
 A hot passage costs a bucket one entry for each group, not for each document.
 
@@ -53,6 +55,8 @@ GROUP_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 PERIOD = 32
 #: Suffixes sorted at once.
 BLOCK = 1 << 18
+#: Bytes of windows' texts whose suffixes are ordered in one buffer, and of text whose anchors are looked for at once.
+BUFFER, SLAB = 1 << 20, 1 << 20
 _SEPARATOR = 255  # in no UTF-8 text
 _CODEC = "zstd"
 
@@ -65,17 +69,12 @@ def difference_cover(v: int = PERIOD) -> np.ndarray:
 
 def _words(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
     """The depth bytes from each place as big-endian 64-bit words; text must be padded by depth bytes."""
-    out = []
-    for k in range(0, depth, 8):
-        w = np.zeros(len(at), np.uint64)
-        for j in range(8):
-            w = (w << np.uint64(8)) | text[at + (k + j)].astype(np.uint64)
-        out.append(w)
-    return out
+    word = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+    return [word[at + k].astype(np.uint64) for k in range(0, depth, 8)]
 
 
-def cover_ranks(text: np.ndarray, n: int, v: int = PERIOD) -> np.ndarray:
-    """For each place of the cover in text[:n], the rank of its suffix among the cover's; -1 elsewhere.
+def cover_ranks(text: np.ndarray, n: int, v: int = PERIOD, depth: int | None = None) -> np.ndarray:
+    """For each place of the cover in text[:n], the rank of its suffix among the cover's, by depth bytes at least; -1 elsewhere.
 
     Prefix doubling over the cover's places alone: k periods ahead of a place is a place again.
     """
@@ -94,7 +93,7 @@ def cover_ranks(text: np.ndarray, n: int, v: int = PERIOD) -> np.ndarray:
         value = np.empty(len(place), np.int64)
         value[order] = np.cumsum(new)
         rank[place] = value
-        if value.max() == len(place) - 1 or step >= n + v:
+        if value.max() == len(place) - 1 or step >= (depth or n + v):
             return rank
         ahead = np.where(place + step < n, rank[np.minimum(place + step, n)], -1)
         order = np.lexsort((ahead, value))
@@ -103,8 +102,11 @@ def cover_ranks(text: np.ndarray, n: int, v: int = PERIOD) -> np.ndarray:
         step *= 2
 
 
-def suffix_blocks(data: bytes | np.ndarray, starts: np.ndarray | None = None, v: int = PERIOD, block: int = BLOCK) -> Iterator[np.ndarray]:
-    """The suffixes at starts (all, if None) in order, a bucket at a time, so that only the cover's ranks and one bucket are held."""
+def suffix_blocks(data: bytes | np.ndarray, starts: np.ndarray | None = None, v: int = PERIOD, block: int = BLOCK, depth: int | None = None) -> Iterator[np.ndarray]:
+    """The suffixes at starts (all, if None) in order, a bucket at a time, so that only the cover's ranks and one bucket are held.
+
+    depth: so many bytes decide (all, if None); suffixes that agree in them stand together.
+    """
     raw = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
     n = len(raw)
     text = np.zeros(n + 2 * v + 8, np.uint8)
@@ -115,7 +117,7 @@ def suffix_blocks(data: bytes | np.ndarray, starts: np.ndarray | None = None, v:
     for d in range(v):
         moved = np.isin((np.arange(v) + d) % v, cover)
         ahead = np.where((ahead == v) & moved[:, None] & moved[None, :], d, ahead)
-    rank = cover_ranks(text, n, v)
+    rank = cover_ranks(text, n, v, depth)
     starts = np.arange(n) if starts is None else starts
     lead = _words(text, starts, 8)[0]
     # Buckets by the leading bytes, of about `block` suffixes; one leading value is never split.
@@ -167,35 +169,37 @@ def _merge(part: np.ndarray, n: int, rank: np.ndarray, ahead: np.ndarray) -> np.
 
 
 def equal_runs(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix of an ordered bucket agrees with the one before in `length` bytes."""
+    """Whether each suffix of an ordered bucket agrees with the one before in `length` bytes, which text holds from each."""
     same = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(length):
+    if length < 8:
+        for k in range(length):
+            same &= text[order[1:] + k] == text[order[:-1] + k]
+        return same
+    word = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    for k in (length - 8, *range(0, length - 8, 8)):  # the last bytes differ most often
         at = np.flatnonzero(same)
-        if not len(at):
-            break
-        same[at] = text[order[at + 1] + k] == text[order[at] + k]
+        same[at] = word[order[at + 1] + k] == word[order[at] + k]
     return same
 
 
-def smallest_ids(parts: list[bytes], ids: np.ndarray, length: int, anchor: np.ndarray | None = None) -> np.ndarray:
-    """For each window of each text, in order, the smallest of the ids of the texts that hold an equal window.
+def smallest_ids(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int, anchor: np.ndarray | None = None) -> np.ndarray:
+    """For each window of each text raw[begin : begin + size], in order, the smallest of the ids of the texts that hold an equal window.
 
     anchor: a place in each text that equal windows have in common. Texts are laid out so that it falls on the cover's
     period: suffixes that tie then have one residue, and so a common shift.
     """
-    size = np.array([len(p) for p in parts], np.int64)
-    lead = (-(anchor if anchor is not None else np.zeros(len(parts), np.int64))) % PERIOD
+    lead = (-(anchor if anchor is not None else np.zeros(len(size), np.int64))) % PERIOD
     slot = -(-(lead + size + 1) // PERIOD) * PERIOD
-    begin = np.cumsum(slot) - slot + lead
+    place = np.cumsum(slot) - slot + lead
     data = np.full(int(slot.sum()), _SEPARATOR, np.uint8)
-    data[_ranges(begin, size)] = np.frombuffer(b"".join(parts), np.uint8)
+    data[_ranges(place, size)] = raw[_ranges(begin, size)]
     windows = np.maximum(size - length + 1, 0)
-    of = np.repeat(np.arange(len(parts)), windows)
-    starts = _ranges(begin, windows)
+    of = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    starts = _ranges(place, windows)
     who = np.zeros(len(data) + 1, np.int32)
     who[starts] = np.arange(len(starts))
     low = np.empty(len(starts), np.int64)
-    for order in suffix_blocks(data, starts):
+    for order in suffix_blocks(data, starts, depth=length):
         edge = np.concatenate([[True], ~equal_runs(data, order, length)])
         at = np.flatnonzero(edge)
         mine = who[order]
@@ -210,54 +214,105 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def anchors(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of buf, where its anchor is: the leftmost of the grams of least hash; and that hash."""
+    """For each window of buf, where its anchor is: the leftmost of the grams of least hash; and that hash.
+
+    Hashes that agree in their upper bits count as equal: the lower ones give way to the place.
+    """
     g = min(GRAM, length)
     value = util.gram_hash(buf, g)
     w = length - g + 1  # grams in a window
-    place = np.arange(len(value), dtype=np.int32)
-
-    def lower(v: np.ndarray, p: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-        right = v[by:] < v[:-by]
-        return np.where(right, v[by:], v[:-by]), np.where(right, p[by:], p[:-by])
-
+    low = util.U64((1 << max(len(value), 1).bit_length()) - 1)
+    least = (value & ~low) | np.arange(len(value), dtype=util.U64)
     k = 1
     while 2 * k <= w:
-        value, place = lower(value, place, k)
+        least = np.minimum(least[k:], least[:-k])
         k *= 2
     if k < w:
-        value, place = lower(value, place, w - k)
-    return place, value
+        least = np.minimum(least[w - k :], least[: k - w])
+    place = (least & low).astype(np.int64)
+    return place, value[place]
+
+
+def _identity(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """128 bits (two columns) that tell texts buf[start:end] with their anchors' places apart."""
+    out = np.empty((len(start), 2), util.U64)
+    for k in range(2):
+        code = util.mix(np.arange(256 * k, 256 * k + 256, dtype=util.U64))
+        out[:, k] = util.mix(util.span_hash(code[buf], start, end) + lead.astype(util.U64) * util.U64(0x9E3779B97F4A7C15))
+    return out
 
 
-class _Slab:
-    """Some of a group's texts in one buffer, and its runs of windows that stand at one anchor."""
+class _Group:
+    """A group's distinct texts in one buffer, and its runs of windows that stand at one anchor: anchor's hash and place, first window and the one after the last."""
 
-    def __init__(self, rows: list, first: int, length: int):
-        self.rows, self.first = rows, first
+    def __init__(self, parts, length: int):
+        rows = _unpack(parts)
+        self.length = length
+        self.sha, self.ids = [r[0] for r in rows], np.array([r[2] for r in rows], np.int64)
         self.off = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])]).astype(np.int64)
         self.raw = b"".join(r[1] for r in rows)
-        buf = np.frombuffer(self.raw, np.uint8)
-        if len(buf) < length:
-            self.head, self.lo, self.hi, self.place = np.zeros(0, util.U64), *np.zeros((3, 0), np.int64)
-            return
-        place, value = anchors(buf, length)
-        fits = np.zeros(len(place), bool)  # windows within one text
-        fits[_ranges(self.off[:-1], np.maximum(np.diff(self.off) - length + 1, 0))] = True
+        del rows
+        self.buf = np.frombuffer(self.raw, np.uint8)
+        self.slabs = [(a, min(a + SLAB, len(self.buf))) for a in range(0, len(self.buf), SLAB)]
+        found = [self._runs(a, z) for a, z in self.slabs]
+        empty = [(np.zeros(0, util.U64), *np.zeros((3, 0), np.int64))]
+        self.head, self.place, self.lo, self.hi = (np.concatenate(x) for x in zip(*(found or empty), strict=True))
+        self.text = np.searchsorted(self.off, self.lo, "right") - 1
+
+    def _runs(self, a: int, z: int) -> tuple:
+        """Runs of the windows that begin in buf[a:z]; a run that goes on after z is cut there."""
+        buf = self.buf[a : z + self.length - 1]
+        if len(buf) < self.length:
+            return (np.zeros(0, util.U64), *np.zeros((3, 0), np.int64))
+        place, value = anchors(buf, self.length)
+        ends = self.off[np.searchsorted(self.off, a, "right") : np.searchsorted(self.off, a + len(buf), "left")] - a
+        over = np.zeros(len(buf) + 1, np.int32)  # windows that hold an end of a text
+        np.add.at(over, np.maximum(ends - self.length + 1, 0), 1)
+        np.add.at(over, ends, -1)
+        fits = np.cumsum(over)[: len(place)] == 0
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1]) | ~fits[:-1]
         at = np.flatnonzero(new & fits)
         stop = np.flatnonzero(np.append(new[1:] | ~fits[1:], True) & fits) + 1
-        self.head, self.lo, self.hi, self.place = value[at], at, stop, place[at].astype(np.int64)
-
-
-def _slabs(rows: list, length: int, cap: int = 1 << 20) -> list[_Slab]:
-    out, lo, size = [], 0, 0
-    for k, r in enumerate(rows):
-        if size and size + len(r[1]) > cap:
-            out.append(_Slab(rows[lo:k], lo, length))
-            lo, size = k, 0
-        size += len(r[1])
-    return [*out, _Slab(rows[lo:], lo, length)] if rows else out
+        return value[at], *(x + a for x in (place[at], at, stop))
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct anchor hashes, sorted; whether several of the texts have each."""
+        order = np.argsort(self.head, kind="stable")  # texts stay in order
+        h, t = self.head[order], self.text[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        return h[at], t[at] < t[np.append(at[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
+
+    def shared(self, answers: pd.DataFrame, buckets: int) -> np.ndarray:
+        """The anchor hashes that other texts have too."""
+        u, _ = self.hashes()
+        cut = _cut(u, buckets)
+        keep = np.zeros(len(u), bool)
+        for frm, part in zip(answers["frm"], answers["part"], strict=True):
+            lo, hi = cut[frm], cut[frm + 1]
+            keep[lo:hi] = np.unpackbits(np.frombuffer(_unzip(part), np.uint8), count=hi - lo)
+        return u[keep]
+
+    def contexts(self, shared: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs at shared anchors by bucket and identity; for each which text of the windows it has; of these the first run and the bucket."""
+        if not len(shared) or not len(self.head):
+            return tuple(np.zeros((4, 0), np.int64))
+        at = np.minimum(np.searchsorted(shared, self.head), len(shared) - 1)
+        k = np.flatnonzero(shared[at] == self.head)
+        name = np.empty((len(k), 2), util.U64)
+        for a, z in self.slabs:
+            i, j = np.searchsorted(self.lo[k], [a, z])
+            r = k[i:j]
+            name[i:j] = _identity(self.buf[a : z + self.length - 1], self.lo[r] - a, self.hi[r] + self.length - 1 - a, self.place[r] - self.lo[r])
+        bucket = np.searchsorted(_edges(buckets), self.head[k], "right")
+        order = np.lexsort((name[:, 1], name[:, 0], bucket))
+        k, name, bucket = k[order], name[order], bucket[order]
+        new = np.append(True, (name[1:] != name[:-1]).any(1) | (bucket[1:] != bucket[:-1]))
+        return k, np.cumsum(new) - 1, k[new], bucket[new]
+
+
+def _edges(buckets: int) -> np.ndarray:
+    return np.array([(b << 64) // buckets for b in range(1, buckets)], util.U64)
 
 
 def _blocks(docs: DataFrame, groups: int) -> DataFrame:
@@ -316,22 +371,9 @@ def _unpack(parts) -> list[tuple[bytes, bytes, int]]:
     return [(sha, text, low) for sha, (text, low) in sorted(held.items())]
 
 
-def _hashes_of(slabs: list[_Slab]) -> tuple[np.ndarray, np.ndarray]:
-    """A group's distinct anchor hashes, sorted; whether several of its texts have each."""
-    u = np.unique(np.concatenate([s.head for s in slabs])) if slabs else np.zeros(0, util.U64)
-    lo, hi = np.full(len(u), np.iinfo(np.int64).max), np.full(len(u), -1)
-    for s in slabs:
-        k = np.searchsorted(u, s.head)
-        text = s.first + np.searchsorted(s.off, s.lo, "right") - 1
-        np.minimum.at(lo, k, text)
-        np.maximum.at(hi, k, text)
-    return u, lo < hi
-
-
 def _cut(u: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's range of sorted hashes begins; one more for the end."""
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(u, np.array(edges, util.U64)), [len(u)]]).astype(np.int64)
+    return np.concatenate([[0], np.searchsorted(u, _edges(buckets)), [len(u)]]).astype(np.int64)
 
 
 def _zip(raw: bytes) -> bytes:
@@ -347,7 +389,7 @@ _ROW = "to int, frm int, part binary"
 
 def _send_hashes(length: int, buckets: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        u, several = _hashes_of(_slabs(_unpack(g["part"]), length))
+        u, several = _Group(g["part"], length).hashes()
         cut = _cut(u, buckets)
         out = []
         for b in range(buckets):
@@ -384,55 +426,19 @@ def _answer_hashes(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["to", "frm", "part"])
 
 
-def _shared(slabs: list[_Slab], answers: pd.DataFrame, buckets: int) -> np.ndarray:
-    """A group's anchor hashes that other texts have too."""
-    u, _ = _hashes_of(slabs)
-    cut = _cut(u, buckets)
-    keep = np.zeros(len(u), bool)
-    for frm, part in zip(answers["frm"], answers["part"], strict=True):
-        lo, hi = cut[frm], cut[frm + 1]
-        keep[lo:hi] = np.unpackbits(np.frombuffer(_unzip(part), np.uint8), count=hi - lo)
-    return u[keep]
-
-
-def _contexts(s: _Slab, length: int, shared: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The slab's runs at shared anchors: their numbers, and their bytes after the anchor's place in them (4 bytes)."""
-    if not len(shared):
-        return np.zeros(0, np.int64), []
-    at = np.minimum(np.searchsorted(shared, s.head), len(shared) - 1)
-    k = np.flatnonzero(shared[at] == s.head)
-    raw = s.raw
-    lead = (s.place[k] - s.lo[k]).astype("<i4").tobytes()
-    ends = (s.hi[k] + length - 1).tolist()
-    return k, [lead[4 * i : 4 * i + 4] + raw[lo:end] for i, (lo, end) in enumerate(zip(s.lo[k].tolist(), ends, strict=True))]
-
-
-def _distinct_contexts(slabs: list[_Slab], length: int, shared: np.ndarray, buckets: int) -> dict[int, dict[bytes, int]]:
-    """By bucket, each distinct context with its smallest id."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], util.U64)
-    by: dict[int, dict[bytes, int]] = {}
-    for s in slabs:
-        ids = np.array([r[2] for r in s.rows], np.int64)
-        k, parts = _contexts(s, length, shared)
-        low = ids[np.searchsorted(s.off, s.lo[k], "right") - 1].tolist()
-        for b, p, i in zip(np.searchsorted(edges, s.head[k], "right").tolist(), parts, low, strict=True):
-            d = by.get(b)
-            if d is None:
-                d = by[b] = {}
-            old = d.get(p)
-            if old is None or i < old:
-                d[p] = i
-    return by
-
-
 def _send_contexts(length: int, buckets: int):
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        slabs = _slabs(_unpack(g["part"]), length)
+        own = _Group(g["part"], length)
+        k, of, first, bucket = own.contexts(own.shared(answers, buckets), buckets)
         out = []
-        for b, d in _distinct_contexts(slabs, length, _shared(slabs, answers, buckets), buckets).items():
-            items = sorted(d.items())
-            raw = np.array([len(items)], "<i8").tobytes() + np.array([[low, len(p)] for p, low in items], "<i8").tobytes() + b"".join(p for p, _ in items)
-            out.append((b, int(key[0]), _zip(raw)))
+        if len(k):
+            low = np.minimum.reduceat(own.ids[own.text[k]], np.flatnonzero(np.diff(of, prepend=-1)))
+            size, lead = own.hi[first] - own.lo[first] + length - 1, own.place[first] - own.lo[first]
+            edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                head = np.array([hi - lo], "<i8").tobytes() + low[lo:hi].astype("<i8").tobytes() + size[lo:hi].astype("<i4").tobytes() + lead[lo:hi].astype("<i4").tobytes()
+                out.append((int(bucket[lo]), int(key[0]), _zip(head + own.buf[_ranges(own.lo[first[lo:hi]], size[lo:hi])].tobytes())))
+        del own
         util.give_back()
         return pd.DataFrame(out, columns=["to", "frm", "part"])
 
@@ -440,28 +446,48 @@ def _send_contexts(length: int, buckets: int):
 
 
 def _answer_contexts(length: int):
+    """The smallest ids of each sender's windows, in the order sent."""
+
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        sent, low = [], {}
+        sent, at = [], 0
         for part in g["part"]:
             raw = _unzip(part)
             n = int(np.frombuffer(raw[:8], "<i8")[0])
-            meta = np.frombuffer(raw[8 : 8 + 16 * n], "<i8").reshape(n, 2)
-            ends = np.cumsum(meta[:, 1]) + 8 + 16 * n
-            own = [raw[e - s : e] for e, s in zip(ends.tolist(), meta[:, 1].tolist(), strict=True)]
-            sent.append(own)
-            for p, i in zip(own, meta[:, 0].tolist(), strict=True):
-                low[p] = min(low.get(p, i), i)
-        parts = sorted(low)
-        util.give_back()
-        anchor = np.frombuffer(b"".join(p[:4] for p in parts), "<i4").astype(np.int64)
-        found = smallest_ids([p[4:] for p in parts], np.array([low[p] for p in parts], np.int64), length, anchor)
-        size = np.array([len(p) - 4 - length + 1 for p in parts], np.int64)
-        begin = dict(zip(parts, (np.cumsum(size) - size).tolist(), strict=True))
-        out = []
-        for frm, own in zip(g["frm"], sent, strict=True):
-            at = np.array([begin[p] for p in own], np.int64)
-            n = np.array([len(p) - 4 - length + 1 for p in own], np.int64)
-            out.append((int(frm), int(key[0]), _zip(found[_ranges(at, n)].astype("<i8").tobytes())))
+            low, size, lead = np.frombuffer(raw, "<i8", n, 8), *(np.frombuffer(raw, "<i4", n, 8 + (8 + 4 * k) * n).astype(np.int64) for k in range(2))
+            buf = np.frombuffer(raw, np.uint8, offset=8 + 16 * n)
+            start = np.cumsum(size) - size
+            gram = util.span_hash(buf, start + lead, start + lead + min(GRAM, length))
+            sent.append((_identity(buf, start, start + size, lead), gram, low, size, lead, start + at, buf))
+            at += len(buf)
+        name, gram, low, size, lead, start, raw = (np.concatenate(x) for x in zip(*sent, strict=True))
+        count = [len(x[0]) for x in sent]
+        del sent
+        # Each text once, those of an anchor together.
+        order = np.lexsort((name[:, 1], name[:, 0], gram))
+        new = np.append(True, (name[order[1:]] != name[order[:-1]]).any(1))
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        low = np.minimum.reduceat(low[order], np.flatnonzero(new))
+        once = order[new]
+        del name, order, new
+        gram, size, lead, start = gram[once], size[once], lead[once], start[once]
+        windows = size - length + 1
+        to = np.cumsum(windows)
+        found = np.empty(int(to[-1]), np.int64)
+        ends, sum_ = np.flatnonzero(np.append(gram[1:] != gram[:-1], True)) + 1, np.cumsum(size)
+        lo = 0
+        while lo < len(once):
+            most = np.searchsorted(sum_, sum_[lo] - size[lo] + BUFFER, "right")
+            i = max(int(np.searchsorted(ends, most, "right")) - 1, int(np.searchsorted(ends, lo, "right")))
+            hi = int(ends[i])
+            found[to[lo] - windows[lo] : to[hi - 1]] = smallest_ids(raw, start[lo:hi], size[lo:hi], low[lo:hi], length, lead[lo:hi])
+            lo = hi
+        del raw
+        out, at = [], 0
+        for frm, n in zip(g["frm"], count, strict=True):
+            mine = of[at : at + n]
+            at += n
+            out.append((int(frm), int(key[0]), _zip(found[_ranges(to[mine] - windows[mine], windows[mine])].astype("<i8").tobytes())))
         util.give_back()
         return pd.DataFrame(out, columns=["to", "frm", "part"])
 
@@ -472,36 +498,29 @@ def _cover(length: int, buckets: int):
     """Rows for each text of a group: what is removed of it. A group's answers come as (kind, frm, part)."""
 
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        slabs = _slabs(_unpack(g["part"]), length)
-        shared = _shared(slabs, answers[answers["kind"] == 0], buckets)
-        by = _distinct_contexts(slabs, length, shared, buckets)
-        begin: dict[bytes, int] = {}
-        flat, size = [np.zeros(0, np.int64)], 0
-        for frm, part in zip(*(answers.loc[answers["kind"] == 1, c] for c in ("frm", "part")), strict=True):
-            flat.append(np.frombuffer(_unzip(part), "<i8"))
-            at = size
-            for p in sorted(by[frm]):
-                begin[p] = at
-                at += len(p) - 4 - length + 1
-            size = at
-        least = np.concatenate(flat)
+        own = _Group(g["part"], length)
+        k, of, first, _ = own.contexts(own.shared(answers[answers["kind"] == 0], buckets), buckets)
+        hit = np.zeros(len(own.buf) + 1, np.int32)
+        if len(k):
+            got = answers[answers["kind"] == 1].sort_values("frm")
+            least = np.concatenate([np.frombuffer(_unzip(part), "<i8") for part in got["part"]])
+            each = own.hi[first] - own.lo[first]
+            begin = np.cumsum(each) - each
+            for lo in range(0, len(k), 1 << 16):
+                r, c = k[lo : lo + (1 << 16)], of[lo : lo + (1 << 16)]
+                n = each[c]
+                at = _ranges(own.lo[r], n)
+                hit[at[least[_ranges(begin[c], n)] < np.repeat(own.ids[own.text[r]], n)] + 1] = 1
+            del least
+        hit = np.cumsum(hit, dtype=np.int32)  # hit[i]: repeated windows before i
+        gone = hit[1:] > np.append(np.zeros(length, np.int32), hit)[1 : len(hit)]
         out = []
-        for s in slabs:
-            ids = np.array([r[2] for r in s.rows], np.int64)
-            k, parts = _contexts(s, length, shared)
-            n = s.hi[k] - s.lo[k]
-            at = _ranges(s.lo[k], n)
-            own = ids[np.searchsorted(s.off, at, "right") - 1]
-            hit = np.zeros(len(s.raw) + 1, np.int64)
-            hit[at[least[_ranges(np.array([begin[p] for p in parts], np.int64), n)] < own] + 1] = 1
-            hit = np.cumsum(hit)  # hit[i]: repeated windows before i
-            i = np.arange(1, len(hit))
-            gone = hit[i] > hit[np.maximum(i - length, 0)]
-            for (sha, text, low), a, b in zip(s.rows, s.off[:-1].tolist(), s.off[1:].tolist(), strict=True):
-                mine = gone[a:b]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-                kept = np.frombuffer(text, np.uint8)[~mine].tobytes() if len(edge) else text
-                out.append((sha, low, b - a, int(mine.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist()))
+        for sha, low, a, b in zip(own.sha, own.ids.tolist(), own.off[:-1].tolist(), own.off[1:].tolist(), strict=True):
+            mine = gone[a:b]
+            edge = np.flatnonzero(np.diff(mine.view(np.int8), prepend=0, append=0))
+            kept = own.buf[a:b][~mine].tobytes() if len(edge) else own.raw[a:b]
+            out.append((sha, low, b - a, int(mine.sum()), len(edge) // 2, hashlib.sha256(kept).hexdigest(), edge.tolist()))
+        del own, hit, gone
         util.give_back()
         return pd.DataFrame(out, columns=["sha", "low", "n_bytes", "n_removed", "n_spans", "kept_sha256", "edges"])
 
@@ -517,7 +536,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_spans: bool = False)
     total = own.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = (util.parts_for(spark, total, n) for n in (GROUP_BYTES, BUCKET_BYTES))
     real = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = lambda: _blocks(real, groups).groupBy("g")
+    blocks = util.materialise(_blocks(real, groups), "blocks")
+    texts = lambda: blocks.groupBy("g")
     answers = texts().applyInPandas(_send_hashes(length, buckets), _ROW).groupBy("to").applyInPandas(_answer_hashes, _ROW)
     answers = util.materialise(answers, "anchors")
     sent = texts().cogroup(answers.groupBy("to")).applyInPandas(_send_contexts(length, buckets), _ROW)

@@ -77,3 +77,32 @@ def test_nulls_columns_and_no_rows(spark):
     n = len(text)
     assert got == sorted([(None, n, 0, 0, sha(text), [])] * 2 + [(3, n, 0, 0, sha(text), []), (4, n + 1, n, 1, sha("!"), [0, n])], key=str)
     assert suffix.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_long_texts_and_small_slabs(spark, monkeypatch):
+    r = random.Random(6)
+    line = lambda n: "".join(r.choice("abc ") for _ in range(n))
+    shared = line(3000)
+    rows = [(i, line(r.randrange(400)) + shared[r.randrange(1000) : r.randrange(1000, 3000)]) for i in range(30)] + [(50, "a" * 9000), (51, "a" * 9000 + "b"), (52, shared * 3), (53, None)]
+    monkeypatch.setattr(suffix, "SLAB", 700)
+    group = [(hashlib.sha256((t or "").encode()).digest(), (t or "").encode(), i) for i, t in rows]
+    one = suffix._Group([suffix._pack(group)], 50)
+    monkeypatch.setattr(suffix, "SLAB", 1 << 20)
+    two = suffix._Group([suffix._pack(group)], 50)
+    for g in (one, two):
+        starts = suffix._ranges(g.lo, g.hi - g.lo)
+        want = [a + k for a, b in zip(g.off[:-1].tolist(), g.off[1:].tolist()) for k in range(b - a - 49)]
+        assert sorted(starts.tolist()) == want
+    assert set(one.head.tolist()) == set(two.head.tolist())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in suffix.remove_repeats(df, 50).collect()), key=str) == brute(rows, 50)
+
+
+def test_depth_keeps_equal_prefixes_together():
+    r = random.Random(7)
+    data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(4000)) * 2 + b"\xff" * 60, np.uint8)
+    order = np.concatenate(list(suffix.suffix_blocks(data, np.arange(7900), depth=50)))
+    raw = data.tobytes()
+    keys = [raw[i : i + 50] for i in order.tolist()]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(7900))
+    assert suffix.equal_runs(data, order, 50).tolist() == [a == b for a, b in zip(keys, keys[1:])]
