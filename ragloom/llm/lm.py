@@ -54,6 +54,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 7 == 2
 
 
+_ONES = np.ones(1024, np.float32)
+
+
+def _exp(z: np.ndarray) -> None:
+    """exp of z in place, each last axis up to a factor: its largest is taken away only where single precision could not hold it."""
+    if z.size and not (z.max() < 60 and z.min() > -60):
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+
+
 class Attention:
     """Vocabulary tables and weights. Ids beyond the vocabulary's last are the end."""
 
@@ -76,49 +86,53 @@ class Attention:
         draw = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
         self.p = {"emb": r.normal(0, 0.3, (INPUTS, WIDTH)).astype(np.float32), "pos": r.normal(0, 0.1, (WINDOW, WIDTH)).astype(np.float32)}
         self.p |= {k: draw(WIDTH, WIDTH) for k in ("q", "k", "v", "o")} | {"out": draw(WIDTH, self.classes), "bias": np.zeros(self.classes, np.float32)}
-        self.mask = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log probabilities (natural) of classes at each place of windows of input codes, and what the way back needs."""
+    def forward(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """At the places of windows of input codes that are on, exp(score) of each class, up to a factor, and their sum; what the way back needs."""
         p = self.p
-        e = p["emb"][x] + p["pos"]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= WIDTH**-0.5
-        s += self.mask
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        o = s @ v
-        h = e + o @ p["o"]
-        z = h @ p["out"] + p["bias"]
-        z -= z.max(2, keepdims=True)
-        z -= np.log(np.exp(z).sum(2, keepdims=True))
-        return z, (x, e, q, k, v, s, o, h)
+        e = (p["emb"][x] + p["pos"]).reshape(-1, WIDTH)
+        q, k, v = ((e @ p[name]).reshape(-1, WINDOW, WIDTH) for name in "qkv")
+        s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        _exp(s)
+        s *= self.mask
+        s /= (s @ _ONES[:WINDOW])[:, :, None]
+        o = (s @ v).reshape(-1, WIDTH)
+        h = np.ones((len(e), WIDTH + 1), e.dtype)  # the last column is the bias's
+        h[:, :WIDTH] = o @ p["o"]
+        h[:, :WIDTH] += e
+        h = h[on.ravel()]
+        z = h @ np.vstack([p["out"], p["bias"]])
+        _exp(z)
+        return z, z @ _ONES[: z.shape[1]], (e, q, k, v, s, o, h)
 
     def loss(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of classes y where on, and its gradients."""
-        z, (x, e, q, k, v, s, o, h) = self.forward(x)
-        p, n = self.p, max(int(on.sum()), 1)
-        took = np.take_along_axis(z, y[:, :, None], 2)[:, :, 0]
-        dz = np.exp(z)
-        np.put_along_axis(dz, y[:, :, None], np.take_along_axis(dz, y[:, :, None], 2) - 1, 2)
-        dz *= on[:, :, None] / n
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"out": flat(h).T @ flat(dz), "bias": flat(dz).sum(0)}
-        dh = dz @ p["out"].T
-        g["o"] = flat(o).T @ flat(dh)
-        do = dh @ p["o"].T
+        dz, total, (e, q, k, v, s, o, h) = self.forward(x, on)
+        p, n, y = self.p, max(int(on.sum()), 1), y[on]
+        rows = np.arange(len(y))
+        value = float(np.log(total / dz[rows, y]).sum() / n)
+        dz *= (1 / (total * np.float32(n)))[:, None]
+        dz[rows, y] -= np.float32(1 / n)
+        both = h.T @ dz
+        g = {"out": both[:-1], "bias": both[-1]}
+        dh = np.zeros_like(e)
+        dh[on.ravel()] = dz @ p["out"].T
+        g["o"] = o.T @ dh
+        do = (dh @ p["o"].T).reshape(v.shape)
         ds, dv = do @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) * WIDTH**-0.5
+        ds *= s
+        ds -= s * (ds @ _ONES[:WINDOW])[:, :, None]
+        ds *= np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        de = dh.copy()
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(e).T @ flat(d)
-            de += d @ p[name].T
-        g["pos"] = de.sum(0)
-        g["emb"] = np.stack([np.bincount(x.ravel(), d, minlength=len(p["emb"])) for d in flat(de).T], 1)
-        return float(-(took * on).sum() / n), g
+            d = d.reshape(-1, WIDTH)
+            g[name] = e.T @ d
+            dh += d @ p[name].T
+        g["pos"] = dh.reshape(v.shape).sum(0)
+        place = (x.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        g["emb"] = np.bincount(place, dh.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape)
+        return value, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 256) -> None:
         r = np.random.default_rng(17)
@@ -169,16 +183,16 @@ class Attention:
         before[off[:-1]] = self.input[self.end]
         return before
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 1024) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of each text's ids (the end is among them)."""
         each = self.within[ids]
         x, y = self.inputs(ids, off), self.klass[ids]
         at, on = self.windows(ids, off)
         for lo in range(0, len(at), batch):
             a, m = at[lo : lo + batch], on[lo : lo + batch]
-            z, _ = self.forward(x[a])
-            took = np.take_along_axis(z, y[a][:, :, None], 2)[:, :, 0]
-            each[a[m]] += took[m] / np.log(10)
+            z, total, _ = self.forward(x[a], m)
+            a = a[m]
+            each[a] += np.log10(z[np.arange(len(a)), y[a]] / total)
         return np.add.reduceat(each, off[:-1]) if len(off) > 1 else np.zeros(0)
 
 
@@ -386,8 +400,14 @@ def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
     """A row for each text with its ids; with a model, a last row with the weights it has after the group's training windows, and their ids."""
 
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        util.keep_memory()
         slabs = _rows(g["part"])
-        u = np.unique(np.concatenate([np.zeros(0, util.U64), *(np.unique(Words(b).hash) for b in slabs)]))
+        words = [Words(b) for b in slabs]
+        each = [np.unique(w.hash, return_inverse=True) for w in words]
+        u = np.unique(np.concatenate([np.zeros(0, util.U64), *(x for x, _ in each)]))
+        index = [np.searchsorted(u, x)[back] for x, back in each]
+        for w in words:
+            w.low = w.hash = w.start = w.end = None  # places are enough from here on
         c, flat, size = np.zeros(len(u), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         cut = _cuts(u, buckets)
         for frm, part in sorted(zip(answers["frm"], answers["part"], strict=True)):
@@ -398,9 +418,7 @@ def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
         log = np.log10((c + 1) / (n + v + 1))
         end = float(np.log10((end_count + 1) / (n + v + 1)))
         out, learn = [], []
-        for b in slabs:
-            w = Words(b)
-            k = np.searchsorted(u, w.hash)
+        for b, w, k in zip(slabs, words, index, strict=True):
             ids, off = text_ids(w, k, flat, begin, end_id)
             each = [ids[lo:hi].astype("<i4").tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             if model is not None:
@@ -410,6 +428,7 @@ def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
                 "n_known": np.bincount(w.doc, c[k] > 0, minlength=b.num_rows).astype(np.int64) + (end_count > 0),
                 "base_score": np.bincount(w.doc, log[k], minlength=b.num_rows) + end, "ids": each,
             }))
+        del slabs, words, index
         got = pd.concat(out)
         got["g"], got["weight"], got["model"] = -1, 0, None
         if learn:
@@ -490,11 +509,13 @@ def score(docs: DataFrame, model: Attention, vocabulary: str, pattern: str, coun
     names = ["doc_id", "n_tokens", "n_known", "base_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        util.keep_memory()
         for b in batches:
             each = [np.frombuffer(x, "<i4") for x in b.column("ids").to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
             got = shared.value.score(np.concatenate(each), off) if each else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(got, pa.float64())], names=[*names, "score"])
+        util.give_back()
 
     out = rows.where("g < 0").select(*names, "ids").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(counts.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -67,6 +67,14 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def keep_memory(size: int = 16 << 20) -> None:
+    """Until the next give_back, arrays of up to `size` bytes reuse freed memory, without a page fault for each page."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, size)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 * size)  # M_TRIM_THRESHOLD
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.astype(U64, copy=True)

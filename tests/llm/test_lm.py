@@ -80,9 +80,9 @@ def test_windows_score_each_once_and_causally():
         assert alone[0] == pytest.approx(whole[k], rel=1e-5)
     other = ids.copy()
     other[133] = (other[133] + 1) % 50
-    z, _ = m.forward(m.inputs(ids, off)[at])
-    z2, _ = m.forward(m.inputs(other, off)[at])
-    assert np.allclose(z, z2)
+    z, total, _ = m.forward(m.inputs(ids, off)[at], on)
+    z2, total2, _ = m.forward(m.inputs(other, off)[at], on)
+    assert np.allclose(z / total[:, None], z2 / total2[:, None]) and z.shape == (134, m.classes)
     p = sum(10 ** m.score(np.array([i]), np.array([0, 1]))[0] for i in range(51))
     assert p == pytest.approx(1, rel=1e-4)
 
@@ -125,3 +125,10 @@ def test_context_and_classes():
     assert m.classes > 96
     at, on = m.windows(np.zeros(500, int), np.array([0, 500]))
     assert (on[1:].argmax(1) >= 4).all()
+
+
+def test_exp_of_scores_out_of_range():
+    z = np.array([[-200.0, -201.0], [300.0, 299.0], [0.0, 1.0]], np.float32)
+    want = np.exp(z.astype(float) - z.max(1, keepdims=True))
+    lm._exp(z)
+    assert np.allclose(z / z.sum(1, keepdims=True), want / want.sum(1, keepdims=True))
