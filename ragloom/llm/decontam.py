@@ -249,17 +249,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
+    """The rows of docs that hold no benchmark item, with all their columns as they are."""
     util.small_batches(docs.sparkSession)
-    out = docs
-    schema, names = docs.schema, docs.columns
+    out, at = docs, docs.columns.index("text")
     for items in item_blocks(benchmark, q, rate):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in util.pieces(batches, "text searched"):
-                bad = {x[0] for x in find(shared.value, b.column("text searched").to_pylist())}
-                yield b.select(names).filter(pa.array([k not in bad for k in range(b.num_rows)]))
+            for b, texts in util.slices(batches, at):
+                bad = {x[0] for x in find(shared.value, texts)}
+                yield b.filter(pa.array([k not in bad for k in range(b.num_rows)]))
 
-        out = out.withColumn("text searched", F.col("text")).mapInArrow(run, schema)
+        out = out.mapInArrow(run, docs.schema)
     return out

@@ -41,7 +41,7 @@ def letters() -> np.ndarray:
     global _letter
     if _letter is None:
         _letter = np.zeros(0x110000, np.uint8)
-        for c in range(0x32000):
+        for c in range(0x110000):
             kind = unicodedata.category(chr(c))[0]
             _letter[c] = 1 if kind == "L" else 2 if kind == "M" else 0
     return _letter
@@ -171,18 +171,19 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, rows.groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n")).toArrow())
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score in columns called `names`, which replace columns so called; the others stay as they are."""
     util.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([f for f in docs.schema if f.name in rest])
-    schema = schema.add("lang_pred", "string").add("score", "double")
+    at = docs.columns.index("text")
+    rest = [k for k, c in enumerate(docs.columns) if c not in names]
+    schema = T.StructType([docs.schema[k] for k in rest])
+    schema = schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in util.pieces(batches):
-            lang, score = shared.value.predict(b.column("text").to_pylist())
-            cols = {c: b.column("text before" if c == "text" else c) for c in rest}
-            yield pa.RecordBatch.from_pydict(cols | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())})
+        for b, texts in util.slices(batches, at):
+            lang, score = shared.value.predict(texts)
+            cols = [*(b.column(k) for k in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*(b.schema.names[k] for k in rest), *names])
 
-    return docs.select(*rest, F.col("text").alias("text before")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -394,16 +394,16 @@ def mask(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """docs with the spans in text replaced; n_chars, if it is there, follows the text."""
     util.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, schema = docs.columns, docs.schema
+    at = docs.columns.index("text")
+    n_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in util.pieces(batches, "text searched"):
-            got = all_spans(b.column("text searched").to_pylist(), shared.value)
-            old = b.column("text").to_pylist()
-            text = [None if t is None else masked(t, base + more) for t, (base, more) in zip(old, got, strict=True)]
-            cols = {c: b.column(c) for c in names} | {"text": pa.array(text, b.column("text").type)}
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([n if t == o else len(t) for t, o, n in zip(text, old, b.column("n_chars").to_pylist(), strict=True)], b.column("n_chars").type)
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return docs.withColumn("text searched", F.col("text")).mapInArrow(run, schema)
+        for b, old in util.slices(batches, at):
+            text = [masked(t, base + more) for t, (base, more) in zip(old, all_spans(old, shared.value), strict=True)]
+            if n_at is not None:
+                n = [n if t == o else len(t) for t, o, n in zip(text, old, b.column(n_at).to_pylist(), strict=True)]
+                b = b.set_column(n_at, b.schema.field(n_at), pa.array(n, b.schema.field(n_at).type))
+            null = b.column(at).is_null().to_numpy(zero_copy_only=False)
+            yield b.set_column(at, b.schema.field(at), pa.array(text, b.schema.field(at).type, mask=null))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,9 +35,9 @@ _own = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, or set by setCheckpointDir; a temporary one only where neither is (tests)."""
     global _own
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = _own = _own or "file://" + tempfile.mkdtemp(prefix="ragloom-")
     return at.rstrip("/")
@@ -119,20 +120,41 @@ def gram_hash(codes: np.ndarray, g: int) -> np.ndarray:
     return mix((prefix[g:] - prefix[: n - g + 1]) * down[: n - g + 1] + U64(g * int(_MULT) & (2**64 - 1)))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", cap: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in order, cut so that a slice holds about cap bytes of text, or one text."""
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not taken, in whatever case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def _slices(batches: Iterator[pa.RecordBatch], at: int, cap: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = batch.schema.get_field_index(column)
         text = batch.column(at).cast(pa.large_string()).fill_null("")
-        batch = batch.set_column(at, column, text)
         off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         lo = 0
         while lo < len(text):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + cap, "right")) - 1)
-            yield batch.slice(lo, hi - lo)
+            yield batch.slice(lo, hi - lo), text.slice(lo, hi - lo)
             lo = hi
+    give_back()
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, cap: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches' rows in order and as they are, cut so that a slice holds about cap bytes of the text in column number `at`, or one text; with the texts (null: empty)."""
+    for batch, text in _slices(batches, at, cap):
+        yield batch, text.to_pylist()
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", cap: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices by the column of that name, in which null texts are empty ones."""
+    batches = iter(batches)
+    for first in batches:
+        at = first.schema.get_field_index(column)
+        for batch, text in _slices(itertools.chain([first], batches), at, cap):
+            yield batch.set_column(at, column, text)
 
 
 def buffer(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:

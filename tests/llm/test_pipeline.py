@@ -58,3 +58,35 @@ def test_stages_against_plain_versions(spark, tmp_path):
     whole = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
     assert whole == sorted(map(tuple, seen["byte_bpe"]), key=str)
     assert decontam.normalise(items[0][1]) not in " ".join(decontam.normalise(r.text) for r in by.values())
+
+
+def test_clashing_columns_repeated_ids_and_no_rows(spark, tmp_path):
+    text = " ".join(EN)
+    rows = [(1, text + " one two three", "en", "s", 7, "a", 0.5, "x", "y", 1), (1, text + " another ending here", "en", "s", 8, "b", 0.25, None, "z", 2)]
+    rows += [(2, text.upper() + " four five six seven", "en", "t", 9, None, None, "q", "r", 3), (3, None, "en", "u", None, "c", 0.1, "p", "o", 4), (4, "12 +", "de", "u", 4, "c", 0.1, "p", "o", 5)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "text searched", "text before", "rep"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, `text searched` string, `text before` string, rep int")
+    spark.createDataFrame([(1, "nothing that occurs here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, df.schema).repartition(3)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.util.materialise(stage(spark, docs, str(tmp_path)), "stage")
+            assert docs.columns == names
+        # Of the rows of document 1 the one with the least text stays; 2 is its near copy or stays, 3 and 4 have no letter.
+        got = sorted(map(tuple, docs.collect()))
+        assert got[0] == rows[1] and {r[0] for r in got} <= {1, 2} and all(r in rows for r in got)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.count() == len(got)
+    none = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []
+
+
+def test_letters_beyond_the_second_plane_and_set_checkpoint_folder(spark, tmp_path):
+    from ragloom.llm import langid, util
+
+    assert langid.letters()[0x32000] == 1 == langid.letters()[ord("a")]
+    assert util.fresh("score", ["Score", "score_"]) == "score__"
+    was = spark.sparkContext.getCheckpointDir()
+    if was is None and spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert util.shared_dir(spark).startswith("file:///")
