@@ -17,16 +17,23 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those whose language is a toss-up."""
-    out = langid.predict(docs, langid.fit(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = (util.fresh(c, docs.columns) for c in ("lang_pred", "score"))
+    out = langid.predict(docs, langid.fit(docs), (lang, score))
+    return out.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of five-word-shingle sets of similarity 0.8 or more, the document with the smallest id stays, once."""
+    """Of each component of five-word-shingle sets of similarity 0.8 or more, the document with the smallest id stays, once.
+
+    Of rows that repeat its id that with the least text stays, then that with the least other columns as JSON.
+    """
     kept = neardup.near_duplicates(docs, words=5, num=80, den=100).where("kept")
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     stay = kept.where("doc_id is not null").select("doc_id").distinct()
-    return named.join(stay, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    row = F.min_by(F.struct(*cols), F.struct("text", others)).alias("row")
+    once = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*")
+    return once.select(*cols).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
