@@ -30,6 +30,8 @@ from . import util
 PER_LANG = 800
 #: Parts of a language among which the sample is first looked for.
 SALTS = 64
+#: Bytes of text looked at at once.
+SLICE = 1 << 20
 #: Character n-gram lengths, tried in this order.
 ORDERS = (5, 4, 3, 2, 1)
 
@@ -74,13 +76,15 @@ def _counts(langs: list[str]):
     schema = pa.schema([("lang", pa.int32()), ("kind", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in util.pieces(batches):
+        for b in util.pieces(batches, cap=SLICE):
             codes, start, end, doc, _ = words(b.column("text").to_pylist())
             lang = np.array([langs.index(x) for x in b.column("lang").to_pylist()])[doc] if len(doc) else doc
             for kind, (h, of) in [(0, (util.span_hash(codes, start, end), np.arange(len(start)))), *((n, grams(codes, start, end, n)) for n in ORDERS)]:
-                both = np.stack([lang[of], h.view(np.int64)], 1) if len(h) else np.zeros((0, 2), np.int64)
-                u, n_each = np.unique(both, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].astype(np.int32)), pa.array(np.full(len(u), kind, np.int32)), pa.array(u[:, 1]), pa.array(n_each)], schema=schema)
+                mine, h = lang[of].astype(np.int32), h.view(np.int64)
+                order = np.lexsort((h, mine))
+                mine, h = mine[order], h[order]
+                at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (mine[1:] != mine[:-1]))) if len(h) else order
+                yield pa.RecordBatch.from_arrays([pa.array(mine[at]), pa.array(np.full(len(at), kind, np.int32)), pa.array(h[at]), pa.array(np.diff(np.append(at, len(h))))], schema=schema)
 
     return count
 
@@ -181,7 +185,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     schema = schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in util.slices(batches, at):
+        for b, texts in util.slices(batches, at, SLICE):
             lang, score = shared.value.predict(texts)
             cols = [*(b.column(k) for k in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*(b.schema.names[k] for k in rest), *names])
