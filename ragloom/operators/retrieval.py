@@ -125,16 +125,26 @@ def _finder(words: list[str]):
     return lambda t: {w for _, w in a.iter(t)}
 
 
-def postings(chunks: DataFrame, chunk_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, chunk_id, tf) of light-stemmed words: the table to keep, partitioned by term, for repeated searches."""
+def postings(chunks: DataFrame, chunk_id: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, tf) of light-stemmed words: the table to keep, partitioned by term, for repeated searches.
+
+    terms: for one search, the rows of `query_terms`; other words leave before the shuffle.
+    """
     words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
-    return chunks.select(chunk_id, F.explode(F.transform(words, T.stem)).alias("term")).groupBy("term", chunk_id).agg(F.count("*").alias("tf"))
+    rows = chunks.select(chunk_id, F.explode(words).alias("term")).select(chunk_id, T.stem(F.col("term")).alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term", chunk_id).agg(F.count("*").alias("tf"))
+
+
+def query_terms(queries: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """A row for each distinct stemmed keyword of a question."""
+    return queries.select(query_id, F.explode(F.array_distinct(F.transform("keywords", T.stem))).alias("term"))
 
 
 def keyword_rank(post: DataFrame, queries: DataFrame, k: int = 100, chunk_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
     """query_id, rank, chunk_id, score: sum of term frequencies over a question's stemmed keywords, by an equi join on the term."""
-    terms = queries.select(query_id, F.explode(F.array_distinct(F.transform("keywords", T.stem))).alias("term"))
-    hits = post.join(terms, "term").groupBy(query_id, chunk_id).agg(F.sum("tf").alias("score"))
+    hits = post.join(query_terms(queries, query_id), "term").groupBy(query_id, chunk_id).agg(F.sum("tf").alias("score"))
     return best(hits, query_id, k, F.desc("score"), F.col(chunk_id))
 
 

@@ -202,7 +202,8 @@ def lex_ilike(s, d):
 
 @query(f"WITH {_KW}, {_POST} SELECT query_id, doc_id, score, rank FROM bytf")
 def lex_rank(s, d):
-    return retrieval.keyword_rank(retrieval.postings(table(s, d, "documents")), _questions(s, d))
+    q = _questions(s, d)
+    return retrieval.keyword_rank(retrieval.postings(table(s, d, "documents"), terms=retrieval.query_terms(q)), q)
 
 
 @query(f"WITH {_KW}, {_HITS} SELECT query_id, doc_id, round(greatest(0.40, 0.99 - 0.01 * (rank - 1)), 6)::DOUBLE AS score FROM lex")
