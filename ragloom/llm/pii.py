@@ -2,14 +2,18 @@
 
 The patterns give base spans, which always stay. Base spans of a bounded sample
 of documents label the windows on which the model is trained, in numpy, with
-digits redrawn and some leading plus signs left out so that it learns shapes,
-not numbers. Texts are then cut into overlapping windows, each is decoded, and
-each character takes the tag of the window in whose middle it lies most. What
-that adds away from the base spans is kept if its mean marginal is at least
-SURE and it holds what its kind needs.
-
-Every kind needs a digit or an @, so windows without either hold nothing and
-are not decoded.
+digits redrawn so that it learns shapes, not numbers. Each window that holds a
+whole span is also trained on in disguise: the span in a form that the patterns
+do not see ("me [at] home [dot] org", "442.555.2901", "10[.]1[.]2[.]3"), or a
+number that is nobody's (a date, an amount, a version), which is no span. Texts
+are then cut into overlapping windows, each is decoded, and each character takes
+the tag of the decoded window in whose middle it lies most. What that adds away
+from the base spans is kept if its mean marginal is at least SURE and it is what
+its kind needs once the disguise is off (a card passes Luhn, an ip's parts are at
+most 255).
+
+Every kind needs a digit, an @ or a bracketed "at", so windows without any of
+them begin no span and are not decoded.
 
 Defined cases: a null text is the empty text, without spans. Repeated rows are
 judged each for itself. With nothing to learn from there are base spans only.
@@ -33,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 32
 #: Documents of the training sample (those with the smallest hash), its windows, and passes over them.
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS = 400, 600, 14
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS = 400, 600, 22
 #: Least mean marginal of an added span.
 SURE = 0.9
 _EMBED, _HIDDEN, _CODES, _TAGS = 12, 16, 160, 9
@@ -45,7 +49,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]", re.I)
+_AT = re.compile(r"\s*[\[(]\s?at\s?[\])]\s*|\s+@\s+", re.I)
+_DOT = re.compile(r"\s*[\[(]\s?(?:dot|\.)\s?[\])]\s*|\s+\.\s+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +91,7 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def windows_of(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an @."""
+    """Starts of the windows that hold the first character of a digit, an @ or a bracketed "at"."""
     out: list[int] = []
     for m in _TRIGGER.finditer(text):
         k = m.start() // STRIDE
@@ -261,14 +267,73 @@ class Tagger:
 
 
 def _plausible(kind: str, piece: str) -> bool:
-    digits = len(_NOT_DIGIT.sub("", piece))
+    digits = _NOT_DIGIT.sub("", piece)
     if kind == "email":
-        return "@" in piece[1:-1] and not re.search(r"\s", piece)
+        return bool(re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", _DOT.sub(".", _AT.sub("@", piece))))
     if kind == "ip":
-        return piece.count(".") == 3 and digits >= 4 and not re.search(r"[^0-9.]", piece)
+        parts = _DOT.sub(".", piece).split(".")
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", x) and int(x) <= 255 for x in parts)
     if kind == "card":
-        return 13 <= digits <= 19 and not re.search(r"[^0-9 -]", piece)
-    return 9 <= digits <= 15 and not re.search(r"[^0-9 ().+-]", piece)
+        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 ./_-]", piece)
+    return 9 <= len(digits) <= 15 and not re.search(r"[^0-9 ()./+-]", piece)
+
+
+def disguised(kind: str, piece: str, r: np.random.Generator) -> str:
+    """A base span in one of the forms that the patterns do not see."""
+    pick = lambda *forms: forms[int(r.integers(len(forms)))]
+    d = _NOT_DIGIT.sub("", piece)
+    if kind == "email":
+        name, _, host = piece.rpartition("@")
+        at = pick(" @ ", "(at)", "[at]", " (at) ", " [at] ", "@")
+        dot = pick("[.]", "(dot)", "[dot]", " [dot] ") if at == "@" else pick(".", ".", "[.]", "(dot)", "[dot]", " [dot] ")
+        return name + at + host.replace(".", dot)
+    if kind == "ip":
+        return piece.replace(".", pick("[.]", "(.)", "[dot]", " . "))
+    if kind == "card":
+        return pick(".", "/", "_", "  ", " - ").join(d[k : k + 4] for k in range(0, len(d), 4))
+    sep = pick("-", ".", " ", "/")
+    local = f"{d[-10:-7]}{sep}{d[-7:-4]}{sep}{d[-4:]}" if len(d) >= 10 else d
+    return pick(piece[1:], "00" + piece[1:], f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}" if len(d) >= 10 else d, local, local)
+
+
+def nobodys(r: np.random.Generator) -> str:
+    """A date, an amount, a version, a number: what looks like personal data and is not."""
+    n = [int(x) for x in r.integers(0, 10**9, 4)]
+    forms = (
+        f"{1900 + n[0] % 200}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d}", f"{1 + n[2] % 28:02d}.{1 + n[1] % 12:02d}.{1900 + n[0] % 200}", f"{n[0] % 24:02d}:{n[1] % 60:02d}:{n[2] % 60:02d}",
+        f"{n[0] % 1000},{n[1] % 1000:03d},{n[2] % 1000:03d}.{n[3] % 100:02d}", f"v{n[0] % 20}.{n[1] % 20}.{n[2] % 100}", str(n[0] % 10 ** (1 + n[1] % 8)), f"{n[0] % 1000}.{n[1]}", f"{n[0] % 100} @ {n[1] % 100}",
+    )
+    return forms[int(r.integers(len(forms)))]
+
+
+def _drawn(text: str, r: np.random.Generator) -> str:
+    """The text with its digits redrawn."""
+    return re.sub("[0-9]", lambda _: str(r.integers(10)), text)
+
+
+def examples(text: str, tags: np.ndarray, r: np.random.Generator) -> list[tuple[str, np.ndarray]]:
+    """A window with its digits redrawn; if it holds a whole span, also with those disguised, or nobody's numbers in their place."""
+    out = [(_drawn(text, r), tags)]
+    edge = [i for i in range(len(tags)) if tags[i] % 2 == 1 or (i and tags[i] == 0 and tags[i - 1] != 0)]
+    spans = [(i, next((j for j in edge if j > i), len(tags))) for i in edge if tags[i]]
+    whole = [(i, j) for i, j in spans if i and j < len(tags)]
+    if not whole:
+        return out
+    for hidden in (True, True, False):
+        pieces, y, at = [], [], 0
+        for i, j in whole:
+            kind = (int(tags[i]) - 1) // 2
+            new = _drawn(disguised(KINDS[kind], text[i:j], r), r) if hidden else nobodys(r)
+            tag = np.full(len(new), 2 + 2 * kind if hidden else 0)
+            if hidden:
+                tag[0] = 1 + 2 * kind
+            pieces += [_drawn(text[at:i], r), new]
+            y += [tags[at:i], tag]
+            at = j
+        pieces.append(_drawn(text[at:], r))
+        y.append(tags[at:])
+        out.append(("".join(pieces)[:WINDOW], np.concatenate(y)[:WINDOW]))
+    return out
 
 
 def all_spans(texts: list[str], model: Tagger | None, batch: int = 256) -> list[tuple[list, list]]:
@@ -344,19 +409,10 @@ def fit(docs: DataFrame) -> Tagger | None:
     if not rows:
         return None
     r = np.random.default_rng(3)
-    codes, tags, mask = np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), np.int64), np.zeros((len(rows), WINDOW), bool)
-    for i, x in enumerate(rows):
-        c, y = codes_of(x.w), np.frombuffer(bytes(x.y), np.uint8).astype(np.int64)
-        digit = (c >= 48) & (c <= 57)
-        c = np.where(digit, r.integers(48, 58, len(c)), c)
-        plus = np.flatnonzero((c == 43) & (y == 7))
-        if len(plus) and r.random() < 0.3:
-            j = int(plus[0])
-            c = np.delete(c, j)
-            y = np.delete(y, j)
-            if j < len(y) and y[j] == 8:
-                y[j] = 7
-        codes[i, : len(c)], tags[i, : len(y)], mask[i, : len(c)] = c, y, True
+    made = [e for x in rows for e in examples(x.w, np.frombuffer(bytes(x.y), np.uint8).astype(np.int64), r)]
+    codes, tags, mask = np.zeros((len(made), WINDOW), np.int64), np.zeros((len(made), WINDOW), np.int64), np.zeros((len(made), WINDOW), bool)
+    for i, (w, y) in enumerate(made):
+        codes[i, : len(w)], tags[i, : len(w)], mask[i, : len(w)] = codes_of(w), y, True
     model = Tagger()
     model.fit(codes, tags, mask, EPOCHS)
     return model
