@@ -5,12 +5,16 @@ the labels table knows a document, that is one more labeller. For each of the
 two tasks expectation-maximisation over all documents' vote patterns (of which
 there are at most 3 to the number of labellers) estimates how accurate each
 labeller is. The posteriors of a bounded sample train a linear scorer on hashed
-words and word beginnings, which then scores every whole text.
+words and word beginnings, which then scores every whole text. Only features
+whose share of good texts in the sample is SIGNAL standard errors away from the
+sample's have a weight: the rest of a long text's thousands is noise. They are
+counted where the texts are; the driver gets those features alone.
 
 Defined cases: a text that is null or has no word is not kept and has quality
 0 and toxicity 0. Repeated rows are scored each for itself. A null id has no
 label. Labels that repeat an id count as their largest values. Without rows to
-learn from the votes' majority stands in for the scorer.
+learn from the votes' majority stands in for the scorer. Where nobody votes on
+one of the two tasks, every text counts as good in it.
 """
 
 from __future__ import annotations
@@ -31,9 +35,13 @@ BITS = 18
 STATS = ("symbols", "capitals", "one_word", "few_words", "same_lines", "pipes", "word_length", "exclaims")
 #: Texts of the sample in which a feature must be to count.
 LEAST = 4
-#: The labeller's words.
-INSULTS = ("idiot", "stupid", "moron", "loser", "pathetic", "scum", "worthless", "clown", "trash", "disgusting")
-_INSULTS = None
+#: Standard errors from the sample's share of good texts; among 2 ** BITS features chance gives less than one.
+SIGNAL = 5.0
+#: Bytes of a word that its beginnings have.
+HEADS = (4, 5, 6, 7)
+#: The words of the two labellers of toxicity, which share none.
+INSULTS = (("idiot", "moron", "pathetic", "worthless", "trash"), ("stupid", "loser", "scum", "clown", "disgusting"))
+_INSULTS: list[np.ndarray] = []
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*<>{}[]=^~\\_@"]] = True
 _LETTER = np.zeros(256, bool)
@@ -79,20 +87,20 @@ class Texts:
             "word_length": letters / w, "exclaims": count(buf == 33) / size,
         }
         self.doc, self.full = doc, full
-        self.heads = [util.span_hash(low, start, np.minimum(end, start + k)) for k in (4, 6)]
-        global _INSULTS
-        if _INSULTS is None:
-            raw = np.frombuffer("".join(INSULTS).encode(), np.uint8)
-            edge = np.concatenate([[0], np.cumsum([len(x) for x in INSULTS])])
-            _INSULTS = np.sort(util.span_hash(raw, edge[:-1], edge[1:]))
-        self.insults = np.bincount(doc[np.isin(full, _INSULTS)], minlength=n)
+        self.heads = [util.span_hash(low, start, np.minimum(end, start + k)) for k in HEADS]
+        if not _INSULTS:
+            for words in INSULTS:
+                raw = np.frombuffer("".join(words).encode(), np.uint8)
+                edge = np.concatenate([[0], np.cumsum([len(x) for x in words])])
+                _INSULTS.append(util.span_hash(raw, edge[:-1], edge[1:]))
+        self.insults = [np.bincount(doc[np.isin(full, h)], minlength=n) for h in _INSULTS]
 
     def votes(self) -> tuple[list[str], list[str]]:
         """A character for each labeller: + good, - bad, 0 nothing. For toxicity, - is toxic."""
         cols = [np.where(self.stats[s] >= bad, "-", "0") for s, bad, _ in QUALITY]
         cols.append(np.where(np.all([self.stats[s] <= good for s, _, good in QUALITY], 0), "+", "0"))
         n = len(self.words)
-        tox = [np.where(self.insults > 0, "-", "0"), np.where(self.insults > 1, "-", "0")]
+        tox = [np.where(k > 0, "-", "0") for k in self.insults]
         return ["".join(c[i] for c in cols) for i in range(n)], ["".join(c[i] for c in tox) for i in range(n)]
 
     def features(self) -> list[np.ndarray]:
@@ -154,9 +162,8 @@ class Scorer:
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.1) -> None:
         if not len(rows):
+            self.b = 2.0  # nobody objects
             return
-        seen = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= min(LEAST, len(rows))
-        rows = [f[seen[f]] for f in rows]
         r = np.random.default_rng(9)
         sq = np.full(1 << BITS, 1e-6)
         bsq = 1e-6
@@ -175,6 +182,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def telling(n: np.ndarray, good: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which features tell good texts from bad ones: n texts of the sample have each, `good` is the sum of their posteriors, y are all posteriors."""
+    if not len(y):
+        return np.zeros(len(n), bool)
+    p = y.mean()
+    return (n >= LEAST) & (np.abs(good - n * p) >= SIGNAL * np.sqrt(n * p * (1 - p))) & (0 < p < 1)
+
+
 @dataclass
 class Model:
     quality: Scorer
@@ -213,25 +228,60 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     label = tuple(expectation_maximisation(c) for c in counts)
     some = votes.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.desc("known"), F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     some = some.select("doc_id", "q", "t").toPandas()
-    chosen = F.broadcast(spark.createDataFrame(some, votes.select("doc_id", "q", "t").schema))  # at most SAMPLE rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in util.pieces(batches):
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "q", "t")), pa.array([f.astype(np.int32) for f in Texts(b).features()], pa.list_(pa.int32()))], names=["doc_id", "q", "t", "f"])
-
+    for k, c in enumerate(("q", "t")):  # the posterior, or no number where nobody votes
+        some[c] = np.array([label[k].posterior(p) if p.strip("0") else np.nan for p in some[c]], float)
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(run, f"doc_id {kind}, q string, t string, f array<int>")
-    rows = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    f = [np.asarray(x, np.int64) for x in rows["f"]]
+    chosen = F.broadcast(spark.createDataFrame(some, f"doc_id {kind}, q double, t double"))  # at most SAMPLE rows
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_features, f"doc_id {kind}, q double, t double, f array<int>")
+    rows = util.materialise(rows.dropDuplicates(["doc_id"]), "features")
+    sums = rows.mapInArrow(_sums, "f int, nq double, gq double, nt double, gt double").groupBy("f").agg(*(F.sum(c).alias(c) for c in ("nq", "gq", "nt", "gt"))).toPandas()  # at most 2 ** BITS rows
+    posterior = [some[c].to_numpy()[~np.isnan(some[c].to_numpy())] for c in ("q", "t")]
+    use = []
+    for c, y in zip(("q", "t"), posterior, strict=True):
+        of = np.zeros(1 << BITS, bool)
+        of[sums["f"].to_numpy()] = telling(sums[f"n{c}"].to_numpy(), sums[f"g{c}"].to_numpy(), y)
+        use.append(of)
+    shared = spark.sparkContext.broadcast(use[0] | use[1])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = b.column("f")
+            flat, off = f.flatten().to_numpy(), f.offsets.to_numpy() - f.offsets[0].as_py()
+            at = shared.value[flat]
+            edge = np.concatenate([[0], np.cumsum(at)])[off].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "q", "t")), pa.ListArray.from_arrays(pa.array(edge), pa.array(flat[at]))], names=["doc_id", "q", "t", "f"])
+
+    got = rows.mapInArrow(told, rows.schema).toPandas().sort_values("doc_id")
+    f = [np.asarray(x, np.int64) for x in got["f"]]
     out = []
     for k, c in enumerate(("q", "t")):
-        s = Scorer()
-        voted = [i for i, p in enumerate(rows[c]) if p.strip("0")]
-        s.fit([f[i] for i in voted], np.array([label[k].posterior(rows[c].iloc[i]) for i in voted]))
+        s, y = Scorer(), got[c].to_numpy()
+        voted = np.flatnonzero(~np.isnan(y))
+        s.fit([f[i][use[k][f[i]]] for i in voted], y[voted])
         out.append(s)
     return Model(*out, label)
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in util.pieces(batches):
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "q", "t")), pa.array([f.astype(np.int32) for f in Texts(b).features()], pa.list_(pa.int32()))], names=["doc_id", "q", "t", "f"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature of a task's rows, how many rows with a posterior have it and the sum of those; for both tasks."""
+    all_ = np.zeros((4, 1 << BITS))
+    for b in batches:
+        f = b.column("f")
+        flat, each = f.flatten().to_numpy(), np.diff(f.offsets.to_numpy())
+        for k, c in enumerate(("q", "t")):
+            y = np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(float), each)
+            some = ~np.isnan(y)
+            all_[2 * k] += np.bincount(flat[some], minlength=1 << BITS)
+            all_[2 * k + 1] += np.bincount(flat[some], weights=y[some], minlength=1 << BITS)
+    at = np.flatnonzero(all_[0] + all_[2])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(a[at]) for a in all_)], names=["f", "nq", "gq", "nt", "gt"])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, quality_prob, toxic_prob, keep of each row."""
     util.small_batches(docs.sparkSession)
