@@ -103,17 +103,28 @@ class Texts:
         tox = [np.where(k > 0, "-", "0") for k in self.insults]
         return ["".join(c[i] for c in cols) for i in range(n)], ["".join(c[i] for c in tox) for i in range(n)]
 
-    def features(self) -> list[np.ndarray]:
-        """Each text's distinct hashed features: words, word beginnings, and each statistic's tenth."""
+    def _keys(self, use: np.ndarray | None = None) -> np.ndarray:
+        """Text number and feature of each text's distinct hashed features: words, word beginnings, and each statistic's tenth. use: which features count, all if None."""
         mask = util.U64((1 << BITS) - 1)
         n = len(self.words)
         part = [(self.doc, (util.mix(h ^ util.U64(k + 1)) & mask).astype(np.int64)) for k, h in enumerate((self.full, *self.heads))]
         for k, s in enumerate(STATS):
             level = np.clip(np.sqrt(np.maximum(self.stats[s], 0)) * 10, 0, 40).astype(np.int64)
             part.append((np.arange(n), (util.mix((level + 100 * k + 7_000_000).astype(util.U64)) & mask).astype(np.int64)))
-        key = np.unique(np.concatenate([(d << BITS) | f for d, f in part]))
+        if use is not None:
+            part = [(d[at], f[at]) for d, f, at in ((d, f, use[f]) for d, f in part)]
+        return np.unique(np.concatenate([(d << BITS) | f for d, f in part]))
+
+    def features(self) -> list[np.ndarray]:
+        n, key = len(self.words), self._keys()
         return np.split(key & ((1 << BITS) - 1), np.searchsorted(key, np.arange(1, n) << BITS)) if n else []
 
+    def scores(self, *scorers: Scorer) -> list[np.ndarray]:
+        """Each scorer's probabilities of the texts; only features with a weight are sorted."""
+        key = self._keys(np.any([s.w != 0 for s in scorers], 0))
+        doc, f = key >> BITS, key & ((1 << BITS) - 1)
+        return [s.squash(np.bincount(doc, weights=s.w[f], minlength=len(self.words)) + s.b) for s in scorers]
+
 
 @dataclass
 class LabelModel:
@@ -170,15 +181,14 @@ class Scorer:
         for _ in range(epochs):
             for i in r.permutation(len(rows)):
                 f = rows[i]
-                p = 1 / (1 + np.exp(-np.clip(self.w[f].sum() + self.b, -30, 30)))
+                p = float(self.squash(self.w[f].sum() + self.b))
                 g = p - y[i]
                 sq[f] += g * g
                 bsq += g * g
                 self.w[f] -= (rate * g / np.sqrt(sq[f])).astype(np.float32)
                 self.b -= rate * g / np.sqrt(bsq)
 
-    def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = np.array([self.w[f].sum() + self.b for f in rows])
+    def squash(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -291,11 +301,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in util.pieces(batches):
             x = Texts(b)
-            f, some = x.features(), x.words > 0
+            some = x.words > 0
             if m.labellers is None:
                 q, t = (np.array([float(v.count("+") >= v.count("-")) for v in vs]) for vs in x.votes())
             else:
-                q, t = m.quality.score(f), m.toxic.score(f)
+                q, t = x.scores(m.quality, m.toxic)
             q, t = np.where(some, q, 0.0), np.where(some, 1 - t, 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(q), pa.array(t), pa.array(some & (q >= 0.5) & (t < 0.5))], names=["doc_id", "quality_prob", "toxic_prob", "keep"])
 

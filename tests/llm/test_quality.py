@@ -63,3 +63,28 @@ def test_features_of_texts_do_not_depend_on_the_slab():
         one = quality.Texts(slab([t]))
         assert np.array_equal(one.features()[0], whole.features()[i])
         assert all(one.stats[s][0] == whole.stats[s][i] for s in quality.STATS)
+
+
+def test_scores_against_plain_sums_and_telling_features():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = ["One two, two!", "", "A line\nA line\nA line\nB", "ééé x one"]
+    x = quality.Texts(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())}))
+    scorers = [quality.Scorer(), quality.Scorer()]
+    for s in scorers:
+        s.w, s.b = np.where(r.random(1 << quality.BITS) < 0.5, r.normal(size=1 << quality.BITS), 0).astype(np.float32), 0.3
+    for s, got in zip(scorers, x.scores(*scorers), strict=True):
+        assert got == pytest.approx([1 / (1 + np.exp(-(sum(float(s.w[k]) for k in f) + s.b))) for f in x.features()], abs=1e-6)
+    y = np.array([1.0] * 90 + [0.0] * 10)
+    # In ten bad texts and nowhere else; in as many good as chance has it; too rare; in none.
+    assert quality.telling(np.array([10, 50, 3, 0]), np.array([0, 45, 0, 0.0]), y).tolist() == [True, False, False, False]
+    assert not quality.telling(np.array([10]), np.array([10.0]), np.ones(20)).any() and not quality.telling(np.array([0]), np.array([0.0]), np.zeros(0)).any()
+
+
+def test_nobody_votes_on_toxicity(spark):
+    docs, labels = rows()
+    clean = [d for d in docs if not {"idiot", "scum"} & set(d[1].split())]
+    d = spark.createDataFrame(clean, "doc_id long, text string, keep string")
+    out = quality.score(d, quality.fit(d, spark.createDataFrame([(i, q, None) for i, q, _ in labels], "doc_id long, quality int, toxic int"))).collect()
+    assert all(x.toxic_prob < 0.5 for x in out) and sum(x.keep for x in out) > len(out) / 2
