@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,8 +121,8 @@ def is_degenerate(a: Column) -> Column:
     return F.coalesce((most(long_lines) >= 4) | (most(long_sentences) >= 3), F.lit(False))
 
 
-def providers(config: Column, known=("llm", "jev")) -> Column:
-    """Known validator names in the order given, each once."""
+def providers(config: Column, known: Sequence[str]) -> Column:
+    """Those of the known validator names that a setting lists, in its order, each once."""
     return F.filter(F.array_distinct(F.transform(F.split(F.lower(config), ","), trim)), lambda p: p.isin(list(known)))
 
 

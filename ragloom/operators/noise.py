@@ -26,6 +26,9 @@ _CONTENTS = re.compile(r"\s*#{0,4}\s*(table of contents|contents|index)\s*", re.
 _ENTRY = re.compile(r"\d+(\.\d+){1,3}\.?\s+[A-Za-z].*\s+\d+\s*", re.A)
 _TITLE = re.compile(r"(?i:(chapter|section|part|annex|appendix)\s+\d+.*)|\d+(\.\d+)*\s+[A-Z].*", re.A)
 _CHROME = re.compile(r"[A-Z][A-Za-z\s&\-]{4,60}")
+_MONEY = re.compile(r"\b(BDT|DDT|Taka|USD|Tk\.|\d{1,3},\d{3})\b", re.A)
+_CURRENCY = re.compile(r"\b(BDT|DDT|Tk\.)\b", re.A)
+_GROUPED = re.compile(r"\d{1,3},\d{3}", re.A)
 _CHROME_WORDS = ("human resource", "confidential", "all rights reserved", "page ")
 
 
@@ -86,9 +89,16 @@ def strip(text: str, names: tuple[str, ...] = (), head: int = 120) -> tuple[str,
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)), toc, chrome
 
 
-def _table_piece(t: str) -> bool:
-    money = re.search(r"\b(BDT|DDT|Taka|USD|\d{1,3},\d{3})\b", t, re.A)
-    return bool(t) and bool(money or re.match(r"\d+\s+", t, re.A) or "|" in t or len(t) <= 25 or (len(t) < 80 and re.match(r"[A-Z][a-z]+\s", t)))
+def _continues_row(t: str) -> bool:
+    """Money, a number before other words, a pipe, a few characters, or two words of a short title."""
+    short = len(t) <= 25 or (len(t) < 80 and bool(re.match(r"[A-Z][a-z]+\s+[A-Z]", t)))
+    return bool(t) and (short or "|" in t or bool(_MONEY.search(t) or re.match(r"\d+\s+\S", t, re.A)))
+
+
+def _is_data(t: str) -> bool:
+    """What may follow a blank line within a table: grouped digits, a currency, a numbered title, or a few characters that are no sentence."""
+    few = len(t) <= 20 and "." not in t and not t.endswith(":")
+    return bool(t) and (few or bool(_GROUPED.search(t) or _CURRENCY.search(t) or re.match(r"\d+\s+[A-Z]", t, re.A)))
 
 
 def repair_tables(text: str) -> str:
@@ -96,13 +106,13 @@ def repair_tables(text: str) -> str:
     lines, out, inside = text.split("\n"), [], False
     for i, line in enumerate(lines):
         t = line.strip()
-        if t.startswith("|") and t.endswith("|") and t:
+        if t.startswith("|") and t.endswith("|"):
             inside = True
-        elif inside and _table_piece(t):
+        elif inside and (_continues_row(t) or _is_data(t)):
             line = f"| {t} |"
         elif inside:
             after = lines[i + 1].strip() if i + 1 < len(lines) else ""
-            inside = not t and (after.startswith("|") or bool(re.search(r"\d{1,3},\d{3}", after, re.A)))
+            inside = not t and (after.startswith("|") or _is_data(after))
         out.append(line)
     return "\n".join(out)
 

@@ -44,6 +44,10 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.col("source").alias("file_name"), F.col("lang").alias("section_header"), kind.alias("content_type"), "text")
 
 
+def _list(xs):
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
 # Keywords of the questions in SQL: kw(query_id, pos, keyword), at most 12 for each.
 _STOP = ", ".join(f"'{w}'" for w in T.LEXICAL_STOP + T.LEXICAL_EXCLUDED)
 _KW = rf"""
@@ -162,9 +166,11 @@ def toc_chunk(s, d):
     return table(s, d, "documents").select("doc_id", T.is_toc_chunk(F.col("text")).alias("is_toc"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS a FROM documents)
+SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS sentence FROM p""")
 def sentence_split(s, d):
-    return table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    t = table(s, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return t.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(r"""
@@ -229,7 +235,10 @@ def rrf_table_boost(s, d):
     return retrieval.boost_tables(f, is_list, F.col("content_type") == "table").select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"""WITH {_COS}, exact AS (SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
+x AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM m GROUP BY ALL),
+place AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, c) / sqrt(list_dot_product(c, c)) DESC, label) AS place FROM q, c)
+SELECT {", ".join(f"round(avg((place <= {p})::INT), 4) AS recall_{p}" for p in (1, 2, 5, 10))} FROM exact JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) JOIN place USING (query_id, label)""")
 def ann_recall(s, d):
     """Share of exact neighbours that a search confined to the nearest labels' clusters finds, for several numbers of clusters."""
     e = table(s, d, "embeddings").withColumn("v", F.transform("embedding", lambda c: c.cast("double")))
@@ -358,12 +367,24 @@ def ground_cascade(s, d):
     return table(s, d, "labels").select("doc_id", context.ground([("quality", F.col("quality") != 0), ("toxicity", F.col("toxic") != 1)]).alias("verdict"))
 
 
-@query()
+_FOUL = "regexp_replace(translate(lower(text), '013457@$+', 'oieastast'), '[^a-z0-9 ]', ' ', 'g')"
+for _c in " abcdefghijklmnopqrstuvwxyz0123456789":
+    _FOUL = f"regexp_replace({_FOUL}, '{_c}{{3,}}', '{_c}', 'g')"
+
+
+@query(rf"SELECT conv_id, turn, regexp_matches({_FOUL}, '\b({'|'.join(w.replace(' ', chr(92) + 's+') for w in G.FOUL)})\b') AS foul FROM conversations WHERE role = 'user'")
 def guard_foul(s, d):
     return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", G.is_foul(F.col("text")).alias("foul"))
 
 
-@query()
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_TRIM.format("lower(text)")} AS t FROM conversations WHERE role = 'user'),
+r AS (SELECT *, {_TRIM.format(f"regexp_replace(t, '{G.GREETING}', '')")} AS rest, contains(t, '?') AS asks, length(t) AS n FROM t)
+SELECT conv_id, turn, len(list_filter({_list(G.WORK)}, lambda w: contains(t, w))) = 0 AND NOT (asks AND n > 30) AND (
+  (n < 40 AND NOT asks AND regexp_matches(t, '{G.GREETING}') AND (rest = '' OR len(string_split_regex(rest, '\s+')) <= 3))
+  OR regexp_matches(t, 'how\s+(are|''re|is)\s+(you|everyone|the\s+team|things)') OR regexp_matches(t, '(how''?s|how is)\s+(it\s+going|your\s+day|the\s+day)')
+  OR (n < 30 AND regexp_matches(t, 'weather|rain|sunny|temperature')) OR regexp_matches(t, 'office\s+(atmosphere|busy|quiet|vibe)')
+  OR regexp_matches(t, '^(thanks|thank you|appreciate it|goodbye|bye)') OR regexp_matches(t, '(what''?s?|tell me) your (name|purpose|role|capabilities)')
+  OR regexp_matches(t, '(what can you|how can you) help') OR contains(t, 'who are you')) AS casual FROM r""")
 def guard_casual(s, d):
     return table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", G.is_casual(F.col("text")).alias("casual"))
 
@@ -380,7 +401,18 @@ def conv_memory(s, d):
     return t.select("conv_id", "turn", "role", F.concat_ws("\n", said).alias("memory"))
 
 
-@query()
+_F_STOP = ", ".join(f"'{w}'" for w in G.FOLLOW_STOP)
+
+
+# A fold in SQL: step i looks at the i-th telling word.
+@query(rf"""WITH RECURSIVE l AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS last_user FROM conversations),
+t AS (SELECT conv_id, turn, text, {_TRIM.format("text")} AS q, string_split_regex(regexp_replace(lower(last_user), '[^a-z0-9\s-]', ' ', 'g'), '\s+') AS toks FROM l WHERE role = 'user'),
+g AS (SELECT row_number() OVER () AS id, *, length(q) <= 80 AND (regexp_matches(lower(q), '{G.FOLLOW_UP[0]}') OR regexp_matches(lower(q), '{G.FOLLOW_UP[1]}') OR (NOT contains(lower(q), '?') AND len(string_split_regex(q, '\s+')) <= 6)) AS follows,
+  coalesce(list_filter(toks, lambda w: length(w) >= 4 AND w NOT IN ({_F_STOP}) AND NOT contains(lower(q), w)), []) AS good FROM t),
+f(id, good, carry) AS (SELECT id, good, '' FROM g UNION ALL
+  SELECT id, good[2:], CASE WHEN contains(carry, good[1]) OR len(string_split(carry, ' ')) >= 5 THEN carry WHEN carry = '' THEN good[1] ELSE carry || ' ' || good[1] END FROM f WHERE len(good) > 0),
+d AS (SELECT id, carry FROM f WHERE len(good) = 0)
+SELECT conv_id, turn, CASE WHEN follows AND carry <> '' THEN q || ' ' || carry ELSE text END AS question FROM g JOIN d USING (id)""")
 def followup_rewrite(s, d):
     t = table(s, d, "conversations").withColumn("last_user", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(_before().rowsBetween(-4, -1)))
     return t.where("role = 'user'").select("conv_id", "turn", G.follow_up(F.col("text"), F.col("last_user")).alias("question"))
@@ -397,17 +429,18 @@ def ans_cutoff(s, d):
     return _answers(s, d).select("conv_id", "turn", G.is_cut_off(F.col("text")).alias("cut_off"))
 
 
-def _list(xs):
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
-
-
 @query(f"""WITH a AS ({_A}), m AS (SELECT conv_id, turn, text, len(list_filter({_list(G.LEAK_STRONG)}, lambda m: contains(lower(text), m))) AS strong, len(list_filter({_list(G.LEAK_SOFT)}, lambda m: contains(lower(text), m))) AS soft FROM a)
 SELECT conv_id, turn, length(text) >= 80 AND (strong > 0 OR soft >= 3 OR (soft >= 2 AND length(text) > 1500)) AS leak FROM m""")
 def ans_leak(s, d):
     return _answers(s, d).select("conv_id", "turn", (F.size(G.leak_markers(F.col("text"))) > 0).alias("leak"))
 
 
-@query()
+_MOST = "coalesce(list_max(list_transform(list_distinct({0}), lambda p: len(list_filter({0}, lambda x: x = p)))), 0)"
+
+
+@query(rf"""WITH a AS ({_A}), l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: regexp_replace({_TRIM.format("x")}, '\s+', ' ', 'g')), lambda x: length(x) >= 30) AS ls,
+  list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '([.?!]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format("x")}), lambda x: len(string_split_regex(x, '\s+')) >= 8) AS ss FROM a)
+SELECT conv_id, turn, {_MOST.format("ls")} >= 4 OR {_MOST.format("ss")} >= 3 AS degenerate FROM l""")
 def ans_degenerate(s, d):
     return _answers(s, d).select("conv_id", "turn", G.is_degenerate(F.col("text")).alias("degenerate"))
 
@@ -417,23 +450,26 @@ def ans_noinfo(s, d):
     return _answers(s, d).select("conv_id", "turn", G.is_no_info(F.col("text")).alias("no_info"))
 
 
-@query()
+@query(rf"""WITH a AS ({_A}), t AS (SELECT conv_id, turn, {_TRIM.format("regexp_replace('Analysis: x' || chr(10) || 'Answer: ' || coalesce(text, ''), '(?is)^.*answer:', '')")} AS t FROM a)
+SELECT conv_id, turn, {_TRIM.format(r"regexp_replace(t, '(?is)^\s*(analysis|final answer)\s*:\s*', '')")} AS answer FROM t""")
 def ans_clean(s, d):
     return _answers(s, d).select("conv_id", "turn", G.clean_answer(F.concat(F.lit("Analysis: x\nAnswer: "), F.col("text"))).alias("answer"))
 
 
-_VALUES = [(1, "llm,jev"), (2, " JEV , llm, jev"), (3, "none"), (4, ""), (5, "llm")]
+_VALUES = [(1, "model,rules"), (2, " RULES , model, rules"), (3, "none"), (4, ""), (5, "model")]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'llm,jev'), (2, 'jev,llm'), (3, ''), (4, ''), (5, 'llm')) t(id, used)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 'model,rules'), (2, 'rules,model'), (3, ''), (4, ''), (5, 'model')) t(id, used)")
 def providers(s, d):
-    return s.createDataFrame(_VALUES, "id long, config string").select("id", F.array_join(G.providers(F.col("config")), ",").alias("used"))
+    return s.createDataFrame(_VALUES, "id long, config string").select("id", F.array_join(G.providers(F.col("config"), ("model", "rules")), ",").alias("used"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'quota'), (2, 'unavailable'), (3, 'other'), (4, 'quota'), (5, 'other')) t(id, kind)")
+# Messages: the documents, some with a status in front.
+@query("""WITH m AS (SELECT doc_id, lower(CASE doc_id % 4 WHEN 1 THEN 'HTTP 429 ' WHEN 2 THEN 'status 503: ' ELSE '' END || coalesce(text, '')) AS m FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(m, '429|resource_exhausted|quota exceeded') THEN 'quota' WHEN regexp_matches(m, 'unavailable|503|rate|overloaded|too many requests') THEN 'unavailable' ELSE 'other' END AS kind FROM m""")
 def err_class(s, d):
-    rows = [(1, "HTTP 429 Too Many Requests"), (2, "503 Service Unavailable"), (3, "bad key"), (4, "RESOURCE_EXHAUSTED"), (5, None)]
-    return s.createDataFrame(rows, "id long, message string").select("id", G.error_class(F.col("message")).alias("kind"))
+    status = F.when(F.col("doc_id") % 4 == 1, "HTTP 429 ").when(F.col("doc_id") % 4 == 2, "status 503: ").otherwise("")
+    return table(s, d, "documents").select("doc_id", G.error_class(F.concat(status, F.coalesce("text", F.lit("")))).alias("kind"))
 
 
 # ---- noise, pages, chunks ----
@@ -532,9 +568,12 @@ def sheet_to_md(s, d):
     return files.table_markdown(table(s, d, "region"), "region.xlsx", "region", "r_regionkey")
 
 
-@query("SELECT * FROM (VALUES ('HR__leave.md', 'HR', 'leave.md'), ('plain.md', 'General', 'plain.md'), ('A__b__c.md', 'A', 'b__c.md')) t(name, file_type, file_name)")
+@query("""WITH t AS (SELECT CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN source || '__' ELSE source || '__' || lang || '__' END || doc_id || '.md' AS name FROM documents)
+SELECT name, CASE WHEN contains(name, '__') THEN split_part(name, '__', 1) ELSE 'General' END AS file_type, CASE WHEN contains(name, '__') THEN substr(name, instr(name, '__') + 2) ELSE name END AS file_name FROM t""")
 def file_type_split(s, d):
-    t = s.createDataFrame([("HR__leave.md",), ("plain.md",), ("A__b__c.md",)], "name string")
+    k = F.col("doc_id") % 3
+    start = F.when(k == 0, "").when(k == 1, F.concat("source", F.lit("__"))).otherwise(F.concat("source", F.lit("__"), "lang", F.lit("__")))
+    t = table(s, d, "documents").select(F.concat(start, F.col("doc_id").cast("string"), F.lit(".md")).alias("name"))
     return t.select("name", files.file_type(F.col("name")).alias("file_type"), files.plain_name(F.col("name")).alias("file_name"))
 
 

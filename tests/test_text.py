@@ -139,3 +139,20 @@ def test_casual_reads_whole_turns(spark, tmp_path):
     rows = [(1, 1, "user", "thanks a lot " + "x " * 500_000 + "what is the leave policy"), (2, 1, "user", "thanks a lot")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.conv_id: r.casual for r in queries.guard_casual(spark, str(tmp_path)).collect()} == {1: False, 2: True}
+
+
+def test_repair_tables_after_blank_lines():
+    table = "| a | b |\n"
+    same = lambda rest: noise.repair_tables(table + rest) == table + rest
+    assert noise.repair_tables(table + "\nTk. 500 for each day of the month and more\nend of the table is here, in a long line") == table + "\n| Tk. 500 for each day of the month and more |\nend of the table is here, in a long line"
+    for after in ("paid in BDT by the fund to each member", "12 Annual leave for the members of staff", "Short piece", "rates 1,200 and more of them in a long line"):
+        assert noise.repair_tables(table + "\n" + after) == table + f"\n| {after} |"
+    assert same("\nA sentence of its own.\nx") and same("\nThen:\nx")
+    assert noise.repair_tables(table + "Annual Leave of all the members of staff") == table + "| Annual Leave of all the members of staff |"
+    assert same("Annual leave of all the members of staff") and noise.repair_tables("no table\n5 x") == "no table\n5 x"
+
+
+def test_error_classes(spark):
+    kinds = {"HTTP 429 Too Many Requests": "quota", "503 Service Unavailable": "unavailable", "bad key": "other", "RESOURCE_EXHAUSTED": "quota", None: "other"}
+    for message, kind in kinds.items():
+        assert one(spark, message, G.error_class) == kind
