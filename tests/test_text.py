@@ -144,7 +144,7 @@ def test_casual_reads_whole_turns(spark, tmp_path):
 def test_repair_tables_after_blank_lines():
     table = "| a | b |\n"
     same = lambda rest: noise.repair_tables(table + rest) == table + rest
-    assert noise.repair_tables(table + "\nTk. 500 for each day of the month and more\nend of the table is here, in a long line") == table + "\n| Tk. 500 for each day of the month and more |\nend of the table is here, in a long line"
+    assert noise.repair_tables(table + "\nTk.500 for each day of the month and more\nend of the table is here, in a long line") == table + "\n| Tk.500 for each day of the month and more |\nend of the table is here, in a long line"
     for after in ("paid in BDT by the fund to each member", "12 Annual leave for the members of staff", "Short piece", "rates 1,200 and more of them in a long line"):
         assert noise.repair_tables(table + "\n" + after) == table + f"\n| {after} |"
     assert same("\nA sentence of its own.\nx") and same("\nThen:\nx")
