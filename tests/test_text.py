@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,30 @@ def test_chunk_queries_see_documents(spark, tmp_path):
     assert got == {(a, b): pytest.approx(len(grams[a] & grams[b]) / len(grams[a] | grams[b]), abs=1e-5) for a in range(20) for b in range(a + 2, 20, 2) if a // 16 == b // 16}
 
 
+def test_trigram_pairs_of_long_texts(spark, tmp_path):
+    r = random.Random(6)
+    letters = "abcdefgh \n\tÉß\U0001f600"
+    rows = [(7 * i, "".join(r.choices(letters, k=40_000 if i % 3 == 0 else r.randrange(60))), f"s{i % 4 // 3}") for i in range(60)]
+    rows += [(-5, None, "s0"), (-6, "ab", "s1"), (None, "abc", "s0"), (None, "abc", "s1"), (1, "abcabc", None), (2, "abcabc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = {(x.a, x.b): x.similarity for x in queries.trigram_jaccard_docs(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 15
+    gram = lambda t: {t[k : k + 3] for k in range(len(t) - 2)}
+    want = {}
+    for s in ("s0", "s1"):
+        mine = sorted(((i, gram(re.sub(r"\s+", " ", (t or "").lower()))) for i, t, x in rows if x == s), key=lambda x: (x[0] is not None, x[0]))
+        for k in range(0, len(mine), 8):
+            block = [x for x in mine[k : k + 8] if x[0] is not None]
+            want |= {(a, b): len(g & h) / max(1, len(g | h)) for n, (a, g) in enumerate(block) for b, h in block[n + 1 :]}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    # A source's order is the same when no task meets the whole of it.
+    split = selection.numbered(df, "source", "doc_id", "text", each=5)
+    order = {(x.source, x.doc_id, x.n) for x in split.collect() if x.source}
+    assert order == {(s, i, n) for s in ("s0", "s1") for n, i in enumerate(sorted((i for i, _, x in rows if x == s), key=lambda i: (i is not None, i)))}
+
+
 def test_page_clean_strips_each_page(spark):
     own = "Contents\n1.1 Leave .... 3\n# Body\n" + "Acme Running Title\nBody line.\n" * 3 + "Page 2 of 3\n \n\t\n\nend"
     pages = [(i, f"Shared site navigation\n{own}\nonly on {i}") for i in range(3)] + [(9, "Shared site navigation")]
