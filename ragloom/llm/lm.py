@@ -55,6 +55,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 _ONES = np.ones(1024, np.float32)
+#: Places of each input code's weights.
+_PLACES = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
 
 
 def _exp(z: np.ndarray) -> None:
@@ -64,6 +66,15 @@ def _exp(z: np.ndarray) -> None:
     np.exp(z, out=z)
 
 
+def _outer(a: np.ndarray, b: np.ndarray, some: int = 256) -> np.ndarray:
+    """a.T @ b of long narrow matrices, in parts that stay in the cache."""
+    n = len(a) // some * some
+    whole = a[n:].T @ b[n:]
+    if n:
+        whole += (a[:n].reshape(-1, some, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, some, b.shape[1])).sum(0)
+    return whole
+
+
 class Attention:
     """Vocabulary tables and weights. Ids beyond the vocabulary's last are the end."""
 
@@ -89,65 +100,94 @@ class Attention:
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
     def forward(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """At the places of windows of input codes that are on, exp(score) of each class, up to a factor, and their sum; what the way back needs."""
-        p = self.p
-        e = (p["emb"][x] + p["pos"]).reshape(-1, WIDTH)
-        q, k, v = ((e @ p[name]).reshape(-1, WINDOW, WIDTH) for name in "qkv")
-        s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+        """At the places of windows of input codes that are on, exp(score) of each class without its bias, up to a factor, and the sum with biases; what the way back needs."""
+        p, at = self.p, np.flatnonzero(on)
+        e = p["emb"].take(x.ravel(), 0).reshape(len(x), -1)
+        e += p["pos"].ravel()
+        e = e.reshape(-1, WIDTH)
+        w = np.hstack([p["q"] * e.dtype.type(WIDTH**-0.5), p["k"], p["v"]])
+        q, k, v = np.split((e @ w).reshape(len(x), WINDOW, -1), 3, 2)
+        s = q @ k.transpose(0, 2, 1)
         _exp(s)
         s *= self.mask
-        s /= (s @ _ONES[:WINDOW])[:, :, None]
+        one = np.repeat(1 / (s.reshape(-1, WINDOW) @ _ONES[:WINDOW]), WIDTH).reshape(-1, WIDTH)
         o = (s @ v).reshape(-1, WIDTH)
-        h = np.ones((len(e), WIDTH + 1), e.dtype)  # the last column is the bias's
-        h[:, :WIDTH] = o @ p["o"]
-        h[:, :WIDTH] += e
-        h = h[on.ravel()]
-        z = h @ np.vstack([p["out"], p["bias"]])
-        _exp(z)
-        return z, z @ _ONES[: z.shape[1]], (e, q, k, v, s, o, h)
+        o *= one
+        h = o @ p["o"]
+        h += e
+        h = h.take(at, 0)
+        z = h @ p["out"]
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+        bias = np.exp(p["bias"])
+        total = z @ bias
+        if len(at) and not (total.max() < 1e30 and total.min() > 1e-26):
+            z = h @ p["out"]
+            _exp(z)
+            total = z @ bias
+        return z, total, (at, e, w, q, k, v, s, o, one, h, bias)
 
     def loss(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
         """Mean negative log likelihood of classes y where on, and its gradients."""
-        dz, total, (e, q, k, v, s, o, h) = self.forward(x, on)
-        p, n, y = self.p, max(int(on.sum()), 1), y[on]
-        rows = np.arange(len(y))
-        value = float(np.log(total / dz[rows, y]).sum() / n)
-        dz *= (1 / (total * np.float32(n)))[:, None]
-        dz[rows, y] -= np.float32(1 / n)
-        both = h.T @ dz
-        g = {"out": both[:-1], "bias": both[-1]}
-        dh = np.zeros_like(e)
-        dh[on.ravel()] = dz @ p["out"].T
-        g["o"] = o.T @ dh
-        do = (dh @ p["o"].T).reshape(v.shape)
-        ds, dv = do @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ do
+        z, total, (at, e, w, q, k, v, s, o, one, h, bias) = self.forward(x, on)
+        p, n, y = self.p, max(len(at), 1), y.ravel()[at]
+        place = np.arange(len(y)) * z.shape[1] + y
+        mine, b = z.ravel()[place], bias[y]
+        value = float(np.log(total / (mine * b)).sum() / n)
+        # The scores' gradients times `total` and n, over exp(bias): what they meet has these factors instead.
+        z.ravel()[place] = mine - total / b
+        each = 1 / (total * total.dtype.type(n))
+        dh = z @ (p["out"] * bias).T
+        wide = np.repeat(each, WIDTH).reshape(-1, WIDTH)
+        dh *= wide
+        h *= wide
+        g = {"out": h.T @ z * bias, "bias": each @ z * bias}
+        all_dh = np.zeros_like(e)
+        all_dh[at] = dh
+        g["o"] = _outer(o, all_dh)
+        do = all_dh @ p["o"].T
+        mean = (do * o) @ _ONES[:WIDTH]
+        do *= one
+        mean *= one[:, 0]
+        do = do.reshape(v.shape)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.repeat(mean, WINDOW).reshape(ds.shape)
         ds *= s
-        ds -= s * (ds @ _ONES[:WINDOW])[:, :, None]
-        ds *= np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            d = d.reshape(-1, WIDTH)
-            g[name] = e.T @ d
-            dh += d @ p[name].T
-        g["pos"] = dh.reshape(v.shape).sum(0)
-        place = (x.ravel()[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        g["emb"] = np.bincount(place, dh.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape)
+        d = np.empty((len(x), WINDOW, 3 * WIDTH), e.dtype)
+        np.matmul(ds, k, out=d[:, :, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(s.transpose(0, 2, 1), do, out=d[:, :, 2 * WIDTH :])
+        d = d.reshape(-1, 3 * WIDTH)
+        g["q"], g["k"], g["v"] = np.split(_outer(e, d), 3, 1)
+        g["q"] = g["q"] * e.dtype.type(WIDTH**-0.5)
+        all_dh += d @ w.T
+        g["pos"] = all_dh.reshape(len(x), -1).sum(0).reshape(WINDOW, WIDTH)
+        g["emb"] = np.bincount(_PLACES.take(x.ravel(), 0).ravel(), all_dh.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape).astype(e.dtype)
         return value, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 256) -> None:
         r = np.random.default_rng(17)
-        m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        names, flat = sorted(self.p), self.flat()
+        self.set_flat(flat, views=True)
+        m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
         step = 0
         for _ in range(epochs):
             order = r.permutation(len(x))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                _, g = self.loss(x[at], y[at], on[at])
+                g = self.loss(x[at], y[at], on[at])[1]
+                g = np.concatenate([g[k].ravel() for k in names])
                 step += 1
-                for k, v in g.items():
-                    m1[k] += 0.1 * (v - m1[k])
-                    m2[k] += 0.01 * (v * v - m2[k])
-                    self.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                m1 += np.float32(0.1) * (g - m1)
+                g *= g
+                g -= m2
+                g *= np.float32(0.01)
+                m2 += g
+                np.sqrt(m2 * np.float32(1 / (1 - 0.99**step)), out=g)
+                g += np.float32(1e-8)
+                np.divide(m1, g, out=g)
+                g *= np.float32(rate / (1 - 0.9**step))
+                flat -= g
 
     def learn(self, texts: list[np.ndarray], epochs: int = EPOCHS, rate: float = 0.01) -> None:
         """Fit to all windows of texts' ids."""
@@ -158,11 +198,12 @@ class Attention:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)])
 
-    def set_flat(self, flat: np.ndarray) -> None:
+    def set_flat(self, flat: np.ndarray, views: bool = False) -> None:
+        """views: the weights share memory with flat."""
         at = 0
         for k in sorted(self.p):
             v = self.p[k]
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32, copy=not views)
             at += v.size
 
     def windows(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,16 +224,17 @@ class Attention:
         before[off[:-1]] = self.input[self.end]
         return before
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 128) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 256) -> np.ndarray:
         """log10 probability of each text's ids (the end is among them)."""
         each = self.within[ids]
         x, y = self.inputs(ids, off), self.klass[ids]
         at, on = self.windows(ids, off)
+        of = [np.zeros(0, np.float32)]
         for lo in range(0, len(at), batch):
-            a, m = at[lo : lo + batch], on[lo : lo + batch]
-            z, total, _ = self.forward(x[a], m)
-            a = a[m]
-            each[a] += np.log10(z[np.arange(len(a)), y[a]] / total)
+            z, total, _ = self.forward(x[at[lo : lo + batch]], on[lo : lo + batch])
+            a = at[lo : lo + batch][on[lo : lo + batch]]
+            of.append(z.ravel()[np.arange(len(a)) * z.shape[1] + y[a]] / total)
+        each[at[on]] += np.log10(np.concatenate(of)) + (self.p["bias"] * np.log10(np.e))[y[at[on]]]
         return np.add.reduceat(each, off[:-1]) if len(off) > 1 else np.zeros(0)
 
 

@@ -132,3 +132,25 @@ def test_exp_of_scores_out_of_range():
     want = np.exp(z.astype(float) - z.max(1, keepdims=True))
     lm._exp(z)
     assert np.allclose(z / z.sum(1, keepdims=True), want / want.sum(1, keepdims=True))
+
+
+def test_products_in_parts():
+    r = np.random.default_rng(4)
+    for n in (0, 5, 256, 700):
+        a, b = r.normal(size=(n, 3)), r.normal(size=(n, 4))
+        assert np.allclose(lm._outer(a, b), a.T @ b)
+
+
+def test_scores_out_of_range_with_biases():
+    m = lm.Attention(300)
+    r = np.random.default_rng(6)
+    m.p["out"] *= 200
+    m.p["bias"] = r.normal(size=m.classes).astype(np.float32)
+    x, on = r.integers(0, 300, (3, lm.WINDOW)), np.ones((3, lm.WINDOW), bool)
+    z, total, kept = m.forward(x, on)
+    assert np.isfinite(z).all() and np.isfinite(total).all() and (total > 0).all()
+    p = z * np.exp(m.p["bias"]) / total[:, None]
+    assert np.allclose(p.sum(1), 1, rtol=1e-4)
+    want = kept[-2].astype(float) @ m.p["out"] + m.p["bias"]
+    want = np.exp(want - want.max(1, keepdims=True))
+    assert np.allclose(p, want / want.sum(1, keepdims=True), atol=1e-4)
