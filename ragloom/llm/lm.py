@@ -1,9 +1,9 @@
 """Language-model scoring: corpus token counts, and a causal self-attention model.
 
 The base score is an add-one unigram over the words of all training documents.
-Texts are dealt into groups; each group sends its distinct words with their
-training counts to the words' buckets, which answer with the corpus counts and
-the subword ids in the order sent. A common word costs its bucket one entry for
+Texts are dealt into groups; each group is read once, keeps its texts as numbers
+of its distinct words, and sends these with their training counts to the words'
+buckets, which answer with the corpus counts and the subword ids in the order sent. A common word costs its bucket one entry for
 each group, and is encoded once. What a bucket's words count for their ids adds
 up to the id counts of all training documents.
 
@@ -54,9 +54,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 7 == 2
 
 
-_ONES = np.ones(1024, np.float32)
-#: Places of each input code's weights.
-_PLACES = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+_ONES = np.ones((WINDOW, WIDTH), np.float32)
+#: Windows that pass through the layers at once: all they hold stays in the cache, and the products stay small enough for the kernels that copy nothing.
+SOME = 40
+#: Places of each input code's weights, two by two: added up as complex numbers, which takes half as many additions.
+_PAIRS = np.arange(INPUTS * WIDTH // 2).reshape(INPUTS, -1)
 
 
 def _exp(z: np.ndarray) -> None:
@@ -75,6 +77,11 @@ def _outer(a: np.ndarray, b: np.ndarray, some: int = 256) -> np.ndarray:
     return whole
 
 
+def _odd(on: np.ndarray) -> np.ndarray:
+    """Windows that score other places than all after the overlap; those of one kind are best passed together."""
+    return on[:, 0] | ~on[:, OVERLAP:].all(1)
+
+
 class Attention:
     """Vocabulary tables and weights. Ids beyond the vocabulary's last are the end."""
 
@@ -99,82 +106,115 @@ class Attention:
         self.p |= {k: draw(WIDTH, WIDTH) for k in ("q", "k", "v", "o")} | {"out": draw(WIDTH, self.classes), "bias": np.zeros(self.classes, np.float32)}
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def forward(self, x: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def ready(self) -> tuple[np.ndarray, np.ndarray]:
+        """What forward makes of the weights alone: queries times keys and values times outputs, each as one product; exp of biases."""
+        p = self.p
+        return np.hstack([p["q"] @ p["k"].T * p["q"].dtype.type(WIDTH**-0.5), p["v"] @ p["o"]]), np.exp(p["bias"])
+
+    def forward(self, x: np.ndarray, on: np.ndarray, ready: tuple | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
         """At the places of windows of input codes that are on, exp(score) of each class without its bias, up to a factor, and the sum with biases; what the way back needs."""
-        p, at = self.p, np.flatnonzero(on)
+        p, (w, bias) = self.p, ready or self.ready()
+        if np.count_nonzero(on) == len(x) * (WINDOW - OVERLAP) and not on[:, :OVERLAP].any():
+            lo, at = OVERLAP, None  # all places from lo on ask, those before it are only asked
+        else:
+            lo, at = 0, np.flatnonzero(on)
         e = p["emb"].take(x.ravel(), 0).reshape(len(x), -1)
         e += p["pos"].ravel()
-        e = e.reshape(-1, WIDTH)
-        w = np.hstack([p["q"] * e.dtype.type(WIDTH**-0.5), p["k"], p["v"]])
-        q, k, v = np.split((e @ w).reshape(len(x), WINDOW, -1), 3, 2)
-        s = q @ k.transpose(0, 2, 1)
+        e = e.reshape(len(x), WINDOW, WIDTH)
+        v = (e.reshape(-1, WIDTH) @ w).reshape(len(x), WINDOW, -1)
+        q, v = v[:, lo:, :WIDTH], v[:, :, WIDTH:]
+        s = q @ e.transpose(0, 2, 1).copy()
         _exp(s)
-        s *= self.mask
-        one = np.repeat(1 / (s.reshape(-1, WINDOW) @ _ONES[:WINDOW]), WIDTH).reshape(-1, WIDTH)
-        o = (s @ v).reshape(-1, WIDTH)
-        o *= one
-        h = o @ p["o"]
-        h += e
-        h = h.take(at, 0)
-        z = h @ p["out"]
+        s *= self.mask[lo:]
+        one = s.reshape(-1, WINDOW) @ _ONES
+        np.reciprocal(one, out=one)
+        o = s @ v
+        o *= one.reshape(o.shape)
+        h = (o + e[:, lo:]).reshape(-1, WIDTH)
+        if at is not None:
+            h = h.take(at, 0)
         with np.errstate(over="ignore"):
+            z = h @ p["out"]
             np.exp(z, out=z)
-        bias = np.exp(p["bias"])
-        total = z @ bias
-        if len(at) and not (total.max() < 1e30 and total.min() > 1e-26):
+            total = z @ bias
+        if len(h) and not (total.max() < 1e30 and total.min() > 1e-26):
             z = h @ p["out"]
             _exp(z)
             total = z @ bias
-        return z, total, (at, e, w, q, k, v, s, o, one, h, bias)
-
-    def loss(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
-        """Mean negative log likelihood of classes y where on, and its gradients."""
-        z, total, (at, e, w, q, k, v, s, o, one, h, bias) = self.forward(x, on)
-        p, n, y = self.p, max(len(at), 1), y.ravel()[at]
-        place = np.arange(len(y)) * z.shape[1] + y
-        mine, b = z.ravel()[place], bias[y]
-        value = float(np.log(total / (mine * b)).sum() / n)
+        return z, total, (lo, at, e, q, v, s, o.reshape(-1, WIDTH), one, h, bias)
+
+    def shares(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, ready: tuple) -> np.ndarray:
+        """Probability of the classes y, one for each place that is on, over exp of their biases."""
+        z, total, _ = self.forward(x, on, ready)
+        place = np.arange(0, z.size, z.shape[1])
+        place += y
+        return z.ravel().take(place) / total
+
+    def _add(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, n: int, ready: tuple, turned: tuple, sums: list[np.ndarray], de: np.ndarray) -> np.ndarray:
+        """Add a part's gradients of out and bias, over exp(bias), and of the two products to sums; de becomes that of its inputs. Returns the probabilities of y."""
+        z, total, (lo, at, e, q, v, s, o, one, h, bias) = self.forward(x, on, ready)
+        mine = y[:, lo:].ravel()
+        if at is not None:
+            mine = mine.take(at)
+        b, flat = bias.take(mine), z.ravel()
+        place = np.arange(0, z.size, z.shape[1])
+        place += mine
+        mine = flat.take(place)
         # The scores' gradients times `total` and n, over exp(bias): what they meet has these factors instead.
-        z.ravel()[place] = mine - total / b
+        flat[place] = mine - total / b
         each = 1 / (total * total.dtype.type(n))
-        dh = z @ (p["out"] * bias).T
-        wide = np.repeat(each, WIDTH).reshape(-1, WIDTH)
-        dh *= wide
-        h *= wide
-        g = {"out": h.T @ z * bias, "bias": each @ z * bias}
-        all_dh = np.zeros_like(e)
-        all_dh[at] = dh
-        g["o"] = _outer(o, all_dh)
-        do = all_dh @ p["o"].T
-        mean = (do * o) @ _ONES[:WIDTH]
-        do *= one
-        mean *= one[:, 0]
-        do = do.reshape(v.shape)
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= np.repeat(mean, WINDOW).reshape(ds.shape)
+        dh = z @ turned[0]
+        dh *= each[:, None]
+        h *= each[:, None]
+        sums[0] += _outer(h, z, 512)
+        sums[1] += each @ z
+        if at is not None:
+            part, dh = dh, np.zeros_like(o)
+            dh[at] = part
+        do = dh * one
+        o *= do
+        do = do.reshape(len(x), -1, WIDTH)
+        ds = do @ v.transpose(0, 2, 1).copy()
+        ds -= (o @ _ONES.reshape(WIDTH, WINDOW)).reshape(ds.shape)
         ds *= s
-        d = np.empty((len(x), WINDOW, 3 * WIDTH), e.dtype)
-        np.matmul(ds, k, out=d[:, :, :WIDTH])
-        np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
-        np.matmul(s.transpose(0, 2, 1), do, out=d[:, :, 2 * WIDTH :])
-        d = d.reshape(-1, 3 * WIDTH)
-        g["q"], g["k"], g["v"] = np.split(_outer(e, d), 3, 1)
-        g["q"] = g["q"] * e.dtype.type(WIDTH**-0.5)
-        all_dh += d @ w.T
-        g["pos"] = all_dh.reshape(len(x), -1).sum(0).reshape(WINDOW, WIDTH)
-        g["emb"] = np.bincount(_PLACES.take(x.ravel(), 0).ravel(), all_dh.ravel(), minlength=p["emb"].size).reshape(p["emb"].shape).astype(e.dtype)
-        return value, g
+        d = np.empty((len(x), WINDOW, 2 * WIDTH), e.dtype)
+        d[:, :lo, :WIDTH] = 0
+        np.matmul(ds, e, out=d[:, lo:, :WIDTH])
+        np.matmul(s.transpose(0, 2, 1), do, out=d[:, :, WIDTH:])
+        d = d.reshape(-1, 2 * WIDTH)
+        sums[2] += e.reshape(-1, WIDTH).T @ d
+        np.matmul(d, turned[1], out=de.reshape(-1, WIDTH))
+        de += ds.transpose(0, 2, 1) @ q
+        de[:, lo:] += dh.reshape(do.shape)
+        return mine * b / total
+
+    def loss(self, x: np.ndarray, y: np.ndarray, on: np.ndarray) -> tuple[float, dict]:
+        """Mean negative log likelihood of classes y where on, and its gradients."""
+        p, ready, n = self.p, self.ready(), max(np.count_nonzero(on), 1)
+        w, bias = ready
+        turned = np.ascontiguousarray((p["out"] * bias).T), np.ascontiguousarray(w.T)
+        sums, de = [np.zeros_like(p["out"]), np.zeros_like(bias), np.zeros_like(w)], np.empty((len(x), WINDOW, WIDTH), w.dtype)
+        some = [slice(lo, lo + SOME) for lo in range(0, len(x), SOME)]
+        got = [self._add(x[k], y[k], on[k], n, ready, turned, sums, de[k]) for k in some]
+        qk, vo = sums[2][:, :WIDTH] * w.dtype.type(WIDTH**-0.5), sums[2][:, WIDTH:]
+        g = {"out": sums[0] * bias, "bias": sums[1] * bias, "q": qk @ p["k"], "k": qk.T @ p["q"], "v": vo @ p["o"].T, "o": p["v"].T @ vo}
+        g["pos"] = de.reshape(len(x), -1).sum(0).reshape(WINDOW, WIDTH)
+        g["emb"] = np.zeros_like(p["emb"])
+        pairs = np.result_type(w, np.complex64)
+        np.add.at(g["emb"].ravel().view(pairs), _PAIRS.take(x.ravel(), 0).ravel(), de.ravel().view(pairs))
+        return -float(np.log(np.concatenate(got)).sum()) / n, g
 
     def fit(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 256) -> None:
         r = np.random.default_rng(17)
         names, flat = sorted(self.p), self.flat()
         self.set_flat(flat, views=True)
         m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
-        step = 0
+        step, odd = 0, _odd(on)
         for _ in range(epochs):
             order = r.permutation(len(x))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
+                at = at[np.argsort(odd[at], kind="stable")]
                 g = self.loss(x[at], y[at], on[at])[1]
                 g = np.concatenate([g[k].ravel() for k in names])
                 step += 1
@@ -224,17 +264,19 @@ class Attention:
         before[off[:-1]] = self.input[self.end]
         return before
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 256) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each text's ids (the end is among them)."""
         each = self.within[ids]
         x, y = self.inputs(ids, off), self.klass[ids]
         at, on = self.windows(ids, off)
-        of = [np.zeros(0, np.float32)]
-        for lo in range(0, len(at), batch):
-            z, total, _ = self.forward(x[at[lo : lo + batch]], on[lo : lo + batch])
-            a = at[lo : lo + batch][on[lo : lo + batch]]
-            of.append(z.ravel()[np.arange(len(a)) * z.shape[1] + y[a]] / total)
-        each[at[on]] += np.log10(np.concatenate(of)) + (self.p["bias"] * np.log10(np.e))[y[at[on]]]
+        order = np.argsort(_odd(on), kind="stable")
+        at, on, ready, share = at[order], on[order], self.ready(), np.empty(len(ids), np.float32)
+        for lo in range(0, len(at), SOME):
+            here, some = at[lo : lo + SOME], on[lo : lo + SOME]
+            asks = here[some]
+            share[asks] = self.shares(x.take(here), y.take(asks), some, ready)
+        each += np.log10(share)
+        each += (self.p["bias"] * np.log10(np.e))[y]
         return np.add.reduceat(each, off[:-1]) if len(off) > 1 else np.zeros(0)
 
 
@@ -265,10 +307,10 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(len(of)) - (np.cumsum(size) - size)[of] + begin[of]
 
 
-def text_ids(w: Words, index: np.ndarray, flat: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a slab's documents, each with the end, and the documents' offsets. index: the word of each place in flat."""
+def text_ids(doc: np.ndarray, n: int, index: np.ndarray, flat: np.ndarray, begin: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of n documents, each with the end, and the documents' offsets. doc, index: the document of each place and its word in flat."""
     size = np.diff(begin)[index] if len(index) else np.zeros(0, np.int64)
-    per = np.bincount(w.doc, size, minlength=len(w.n)).astype(np.int64) + 1
+    per = np.bincount(doc, size, minlength=n).astype(np.int64) + 1
     off = np.concatenate([[0], np.cumsum(per)])
     out = np.full(off[-1], end_id, np.int32)
     body = np.ones(off[-1], bool)
@@ -319,18 +361,22 @@ def _rows(parts) -> list[pa.RecordBatch]:
     return list(util.pieces(iter(batches)))
 
 
-def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """A group's distinct word hashes, sorted, their counts in its training documents, and the words."""
-    hashes, counts, words = [np.zeros(0, util.U64)], [np.zeros(0)], []
+def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    """A group's distinct word hashes, sorted, their counts in its training documents, and the words; of each slab its documents' ids, which of them are known and which teach, numbers of words, and the places' words, packed."""
+    hashes, counts, words, docs, at = [], [], [], [], 0
     for b in slabs:
         w = Words(b)
         u, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
-        learn = b.column("learn").to_numpy(zero_copy_only=False)[w.doc].astype(float)
+        name, learn = b.column("doc_id"), b.column("learn").to_numpy(zero_copy_only=False)
         hashes.append(u)
-        counts.append(np.bincount(index, learn, minlength=len(u)))
+        counts.append(np.bincount(index, learn[w.doc].astype(float), minlength=len(u)))
         words += w.some(first)
+        known = name.is_valid().to_numpy(zero_copy_only=False)
+        docs.append((name.fill_null(0).to_numpy().astype("<i8"), known.astype("u1"), learn.astype("u1"), w.n.astype("<i4"), index + at))
+        at += len(u)
     u, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64), [words[k] for k in first.tolist()]
+    docs = [_pack(*x, index[back].astype("<i4")) for *x, back in docs]
+    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64), [words[k] for k in first.tolist()], docs
 
 
 def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
@@ -354,9 +400,9 @@ _COLUMNS = ["to", "frm", "n", "v", "part"]
 
 def _send(buckets: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        u, c, words = _distinct(_rows(g["part"]))
+        u, c, words, docs = _distinct(_rows(g["part"]))
         cut = _cuts(u, buckets)
-        out = []
+        out = [(-1, int(key[0]), k, 0, x) for k, x in enumerate(docs)]
         for b in range(buckets):
             lo, hi = cut[b], cut[b + 1]
             if hi > lo:
@@ -400,6 +446,7 @@ class Counts:
 
     docs: DataFrame
     groups: int
+    sent: DataFrame
     answers: DataFrame
     n: int
     v: int
@@ -407,9 +454,6 @@ class Counts:
     ids: np.ndarray
     encoded: DataFrame | None = None
 
-    def texts(self):
-        return _parts(self.docs, self.groups).groupBy("g")
-
 
 def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
@@ -423,9 +467,10 @@ def count(docs: DataFrame, vocabulary: str, pattern: str) -> Counts:
     util.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total, learnt = docs.agg(F.sum(F.octet_length("text")), F.count_if(~held_out())).first()
-    got = Counts(docs, util.parts_for(spark, total or 0, GROUP_BYTES), docs, 0, 0, learnt, np.zeros(len(load(vocabulary, pattern).ranks) + 1, np.int64))
-    sent = got.texts().applyInPandas(_send(got.groups), _ROW)
-    got.answers = util.materialise(sent.groupBy("to").applyInPandas(_answer(vocabulary, pattern), _ROW), "counts")
+    groups = util.parts_for(spark, total or 0, GROUP_BYTES)
+    sent = util.materialise(_parts(docs, groups).groupBy("g").applyInPandas(_send(groups), _ROW), "words")
+    answers = util.materialise(sent.where("to >= 0").groupBy("to").applyInPandas(_answer(vocabulary, pattern), _ROW), "counts")
+    got = Counts(docs, groups, sent, answers, 0, 0, learnt, np.zeros(len(load(vocabulary, pattern).ranks) + 1, np.int64))
     sums = got.answers.where("to < 0")
     n, v = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     got.n, got.v = n + learnt, v + (learnt > 0)
@@ -438,39 +483,31 @@ def count(docs: DataFrame, vocabulary: str, pattern: str) -> Counts:
 _ENCODED = "doc_id long, n_tokens long, n_known long, base_score double, ids binary, g int, weight long, model binary"
 
 
-def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
+def _encode(n: int, v: int, end_count: int, end_id: int, model):
     """A row for each text with its ids; with a model, a last row with the weights it has after the group's training windows, and their ids."""
 
     def run(key: tuple, g: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         util.keep_memory()
-        slabs = _rows(g["part"])
-        words = [Words(b) for b in slabs]
-        each = [np.unique(w.hash, return_inverse=True) for w in words]
-        u = np.unique(np.concatenate([np.zeros(0, util.U64), *(x for x, _ in each)]))
-        index = [np.searchsorted(u, x)[back] for x, back in each]
-        for w in words:
-            w.low = w.hash = w.start = w.end = None  # places are enough from here on
-        c, flat, size = np.zeros(len(u), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        cut = _cuts(u, buckets)
-        for frm, part in sorted(zip(answers["frm"], answers["part"], strict=True)):
-            c[cut[frm] : cut[frm + 1]], k, x = _unpack(part, "<i8", "<i4", "<i4")
-            size.append(k)
-            flat.append(x)
-        flat, begin = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(size))]).astype(np.int64)
+        # Buckets are ranges of hashes, so their answers on end are in the order of the group's words.
+        got = [_unpack(p, "<i8", "<i4", "<i4") for _, p in sorted(zip(answers["frm"], answers["part"], strict=True))]
+        c, size, flat = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in got)]).astype(t) for k, t in enumerate((np.int64, np.int64, np.int32)))
+        begin = np.concatenate([[0], np.cumsum(size)])
         log = np.log10((c + 1) / (n + v + 1))
         end = float(np.log10((end_count + 1) / (n + v + 1)))
         out, learn = [], []
-        for b, w, k in zip(slabs, words, index, strict=True):
-            ids, off = text_ids(w, k, flat, begin, end_id)
+        for part in g.sort_values("n")["part"]:
+            name, known, teaches, m, k = _unpack(part, "<i8", "u1", "u1", "<i4", "<i4")
+            m = m.astype(np.int64)
+            doc = np.repeat(np.arange(len(m)), m)
+            ids, off = text_ids(doc, len(m), k, flat, begin, end_id)
             each = [ids[lo:hi].astype("<i4").tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             if model is not None:
-                learn += [x for x, y in zip(each, b.column("learn").to_pylist(), strict=True) if y]
+                learn += [x for x, y in zip(each, teaches, strict=True) if y]
             out.append(pd.DataFrame({
-                "doc_id": b.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), "n_tokens": w.n + 1,
-                "n_known": np.bincount(w.doc, c[k] > 0, minlength=b.num_rows).astype(np.int64) + (end_count > 0),
-                "base_score": np.bincount(w.doc, log[k], minlength=b.num_rows) + end, "ids": each,
+                "doc_id": pd.arrays.IntegerArray(name.astype(np.int64), known == 0), "n_tokens": m + 1,
+                "n_known": np.bincount(doc, c[k] > 0, minlength=len(m)).astype(np.int64) + (end_count > 0),
+                "base_score": np.bincount(doc, log[k], minlength=len(m)) + end, "ids": each,
             }))
-        del slabs, words, index
         got = pd.concat(out)
         got["g"], got["weight"], got["model"] = -1, 0, None
         if learn:
@@ -488,8 +525,9 @@ def _encode(buckets: int, n: int, v: int, end_count: int, end_id: int, model):
 
 
 def _encoded(counts: Counts, end_id: int, model=None) -> DataFrame:
-    run = _encode(counts.groups, counts.n, counts.v, counts.learnt, end_id, model)
-    return util.materialise(counts.texts().cogroup(counts.answers.where("to >= 0").groupBy("to")).applyInPandas(run, _ENCODED), "encoded")
+    run = _encode(counts.n, counts.v, counts.learnt, end_id, model)
+    texts = counts.sent.where("to < 0").select(F.col("frm").alias("g"), "n", "part").groupBy("g")
+    return util.materialise(texts.cogroup(counts.answers.where("to >= 0").groupBy("to")).applyInPandas(run, _ENCODED), "encoded")
 
 
 def _sum(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -511,7 +549,7 @@ def begin(docs: DataFrame, ids: np.ndarray, vocabulary: str, pattern: str) -> At
             w = Words(b)
             _, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
             flat, begin = subwords(bpe, w.some(first))
-            ids, off = text_ids(w, index, flat, begin, size)
+            ids, off = text_ids(w.doc, len(w.n), index, flat, begin, size)
             each = [ids[a : min(b, a + SAMPLE_IDS)].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(each, pa.binary())], names=["k", "ids"])
 

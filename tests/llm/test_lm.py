@@ -154,3 +154,33 @@ def test_scores_out_of_range_with_biases():
     want = kept[-2].astype(float) @ m.p["out"] + m.p["bias"]
     want = np.exp(want - want.max(1, keepdims=True))
     assert np.allclose(p, want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_step_in_parts():
+    m = lm.Attention(300, np.arange(301))
+    off = np.concatenate([[0], np.cumsum([3, 700, 16, 40, 1])])
+    ids = np.random.default_rng(7).integers(0, 301, off[-1])
+    at, on = m.windows(ids, off)
+    assert len(at) > lm.SOME
+    x, y = m.inputs(ids, off)[at], m.klass[ids][at]
+    value, g = m.loss(x, y, on)
+    alone = [(on[k].sum() / on.sum(), *m.loss(x[k : k + 1], y[k : k + 1], on[k : k + 1])) for k in range(len(x))]
+    assert value == pytest.approx(sum(n * a for n, a, _ in alone), rel=1e-5)
+    for k in g:
+        assert np.allclose(g[k], sum(n * b[k] for n, _, b in alone), atol=1e-6)
+
+
+def test_a_group_keeps_its_texts_as_numbers_of_words():
+    rows = corpus()
+    batch = lm.pa.RecordBatch.from_pydict({"doc_id": lm.pa.array([i for i, _ in rows], lm.pa.int64()), "text": [t for _, t in rows], "learn": [i is not None and i % 2 == 0 for i, _ in rows]})
+    slabs = list(lm.util.pieces(iter([batch.slice(0, 90), batch.slice(90)])))
+    u, c, words, docs = lm._distinct(slabs)
+    got, taught = [], Counter()
+    for part in docs:
+        name, known, learn, n, index = lm._unpack(part, "<i8", "u1", "u1", "<i4", "<i4")
+        for i, k, teaches, some in zip(name.tolist(), known, learn, np.split(index, np.cumsum(n)[:-1]), strict=True):
+            texts = [words[w].decode() for w in some]
+            got.append((i if k else None, texts))
+            taught.update(texts * int(teaches))
+    assert got == [(i, tokens(t)[:-1]) for i, t in rows]
+    assert (np.diff(u.astype(object)) > 0).all() and [taught[w.decode()] for w in words] == c.tolist()
