@@ -361,22 +361,26 @@ def _rows(parts) -> list[pa.RecordBatch]:
     return list(util.pieces(iter(batches)))
 
 
-def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-    """A group's distinct word hashes, sorted, their counts in its training documents, and the words; of each slab its documents' ids, which of them are known and which teach, numbers of words, and the places' words, packed."""
-    hashes, counts, words, docs, at = [], [], [], [], 0
+def _distinct(slabs: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """A group's distinct word hashes, sorted, their counts in its training documents, and the words' lengths and bytes on end; of each slab its documents' ids, which of them are known and which teach, numbers of words, and the places' words, packed."""
+    hashes, counts, sizes, raw, docs, at = [], [], [], [], [], 0
     for b in slabs:
         w = Words(b)
         u, first, index = np.unique(w.hash, return_index=True, return_inverse=True)
         name, learn = b.column("doc_id"), b.column("learn").to_numpy(zero_copy_only=False)
         hashes.append(u)
         counts.append(np.bincount(index, learn[w.doc].astype(float), minlength=len(u)))
-        words += w.some(first)
+        sizes.append(w.end[first] - w.start[first])
+        raw.append(w.low[_ranges(w.start[first], sizes[-1])])
         known = name.is_valid().to_numpy(zero_copy_only=False)
         docs.append((name.fill_null(0).to_numpy().astype("<i8"), known.astype("u1"), learn.astype("u1"), w.n.astype("<i4"), index + at))
         at += len(u)
     u, first, index = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     docs = [_pack(*x, index[back].astype("<i4")) for *x, back in docs]
-    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64), [words[k] for k in first.tolist()], docs
+    size = np.concatenate(sizes)
+    start = np.cumsum(size) - size
+    raw = np.concatenate(raw)[_ranges(start[first], size[first])]
+    return u, np.bincount(index, np.concatenate(counts), minlength=len(u)).astype(np.int64), size[first].astype("<i4"), raw, docs
 
 
 def _cuts(u: np.ndarray, buckets: int) -> np.ndarray:
@@ -400,15 +404,13 @@ _COLUMNS = ["to", "frm", "n", "v", "part"]
 
 def _send(buckets: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        u, c, words, docs = _distinct(_rows(g["part"]))
-        cut = _cuts(u, buckets)
+        u, c, size, raw, docs = _distinct(_rows(g["part"]))
+        cut, off = _cuts(u, buckets), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         out = [(-1, int(key[0]), k, 0, x) for k, x in enumerate(docs)]
         for b in range(buckets):
             lo, hi = cut[b], cut[b + 1]
             if hi > lo:
-                some = words[lo:hi]
-                size, raw = np.array([len(w) for w in some], "<i4"), np.frombuffer(b"".join(some), np.uint8)
-                out.append((b, int(key[0]), 0, 0, _pack(u[lo:hi].astype("<u8"), c[lo:hi].astype("<i8"), size, raw)))
+                out.append((b, int(key[0]), 0, 0, _pack(u[lo:hi].astype("<u8"), c[lo:hi].astype("<i8"), size[lo:hi], raw[off[lo] : off[hi]])))
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return run

@@ -174,7 +174,8 @@ def test_a_group_keeps_its_texts_as_numbers_of_words():
     rows = corpus()
     batch = lm.pa.RecordBatch.from_pydict({"doc_id": lm.pa.array([i for i, _ in rows], lm.pa.int64()), "text": [t for _, t in rows], "learn": [i is not None and i % 2 == 0 for i, _ in rows]})
     slabs = list(lm.util.pieces(iter([batch.slice(0, 90), batch.slice(90)])))
-    u, c, words, docs = lm._distinct(slabs)
+    u, c, size, raw, docs = lm._distinct(slabs)
+    words = [x.tobytes() for x in np.split(raw, np.cumsum(size)[:-1])]
     got, taught = [], Counter()
     for part in docs:
         name, known, learn, n, index = lm._unpack(part, "<i8", "u1", "u1", "<i4", "<i4")
