@@ -181,3 +181,27 @@ def test_error_classes(spark):
     kinds = {"HTTP 429 Too Many Requests": "quota", "503 Service Unavailable": "unavailable", "bad key": "other", "RESOURCE_EXHAUSTED": "quota", None: "other"}
     for message, kind in kinds.items():
         assert one(spark, message, G.error_class) == kind
+
+
+def test_trigram_pairs_are_all_of_a_source(spark, tmp_path):
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghij \n\tÉß\U0001f600"[: r.choice([3, 6, 16])], k=r.randrange(300))) for _ in range(70)]
+    rows = [(r.randrange(400) * 3 - 50, r.choice(texts), f"s{i % 5 // 4}") for i in range(90)]
+    rows += [(-60, None, "s0"), (-61, "ab", "s0"), (-62, "abcabc", "s2"), (None, "abc", "s0"), (1, "abcabc", None), (2, "abcabc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [(i, {t[k : k + 3] for t in [re.sub(r"\s+", " ", (x or "").lower())] for k in range(len(t) - 2)}, s) for i, x, s in rows if i is not None and s]
+    want = sorted((a, b, round(len(g & h) / max(1, len(g | h)), 5)) for a, g, s in sets for b, h, t in sets if a < b and s == t)
+    same = lambda out: sorted((x.a, x.b, round(x.similarity, 5)) for x in out.collect()) == [pytest.approx(w, abs=2e-5) for w in want]
+    assert len(want) > 2000 and same(queries.trigram_jaccard_docs(spark, str(tmp_path)))
+    # Many blocks and tiles give the same.
+    assert same(selection.trigram_pairs(df, block=20, tile=7)) and same(selection.trigram_pairs(df, chars=2000, tile=1))
+
+
+def test_shared_trigrams_by_either_way():
+    r = random.Random(9)
+    codes = [T.trigram_codes("".join(r.choices("abcdefg"[: r.choice([2, 7])], k=r.randrange(200)))) for _ in range(60)]
+    a, b = T.trigram_table(codes[:25]), T.trigram_table(codes[25:])
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in codes[25:]] for x in codes[:25]]
+    for share, columns, most in ((0.005, 4096, 1 << 22), (0, 7, 1), (2, 7, 1), (2, 7, 500), (0.1, 50, 100)):
+        assert T.shared_trigrams(a, b, share, columns, most).tolist() == want
